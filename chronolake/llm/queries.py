@@ -3,11 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import chat, exact_dedup, mixing, quality_rules
 from .common import table
 
 
+#: Both texts of the extra conversation.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    i = F.col("id")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), i.alias("turn"), F.when(i == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
+    return chat.digest(chat.format_trees(chat.turn_nodes(turns.unionByName(own))))
+
+
+def _escaped(x: str) -> str:
+    for raw, written in chat.ESCAPES:
+        x = f"replace({x}, '{raw}', '{written}')"
+    return x
+
+
+OP2_SQL = f"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all select -7, 0, 'user', '{CONTROL_TEXT}' union all select -7, 1, 'assistant', '{CONTROL_TEXT}'),
+g as (select conv_id, count(*) n_turns,
+             string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) turns,
+             coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '') loss,
+             {len(chat.BEGIN)} + sum(length({_escaped("role")}) + length({_escaped("text")}) + {len(chat.OPEN + chat.MIDDLE + chat.CLOSE)}) chars
+      from t group by conv_id)
+select conv_id, n_turns, sha256(turns) turns_sha256, length(loss) loss_chars, sha256(loss) loss_sha256, chars::bigint formatted_chars from g
+"""
+
+
 def op7_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), mixing.PRODUCTION)
 
@@ -16,6 +46,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = """
 with d as (select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) h from documents)
 select doc_id, max(doc_id) over (partition by h) keep_id, count(*) over (partition by h) group_size,
@@ -24,10 +58,13 @@ from d
 """
 
 QUERIES = {
+    "op2_chat_formatting": op2_chat_formatting,
     "op7_poisson_mixing": op7_poisson_mixing,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_quality_rules": op10_quality_rules,
 }
 ORACLES = {
+    "op2_chat_formatting": OP2_SQL,
     "op7_poisson_mixing": mixing.sql(mixing.PRODUCTION),
     "op9_exact_dedup": OP9_SQL,
 }
