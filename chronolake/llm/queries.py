@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, quality_rules
+from . import bpe, chat, exact_dedup, mixing, pii, quality_rules, warc
 from .common import table
 
 
+#: Stands in for a key from the caller's key store.
+PSEUDONYM_KEY = b"example key of the registered query"
+
+
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    return found.select("doc_id", "text", "n_found", *(F.coalesce(F.col("kinds")[k], F.lit(0).cast("long")).alias(f"n_{k}") for k in pii.KINDS))
+
+
 #: Both texts of the extra conversation.
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
@@ -38,10 +47,39 @@ select conv_id, n_turns, sha256(turns) turns_sha256, length(loss) loss_chars, sh
 """
 
 
+def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url_key", "time")
+
+
+OP4_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) b from pages),
+h as (select page_id, octet_length(b) n, sha1(b) h from p),
+m as (select *, min(page_id) over (partition by h) first_id from h),
+g as (select distinct h from h),
+bits as (select h, array_to_string(list_transform(range(40), lambda i: lpad(bin(instr('0123456789abcdef', substr(h, i::int + 1, 1)) - 1), 4, '0')), '') b from g),
+b32 as (select h, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            1 + 16 * substr(b, i::int * 5 + 1, 1)::int + 8 * substr(b, i::int * 5 + 2, 1)::int + 4 * substr(b, i::int * 5 + 3, 1)::int
+              + 2 * substr(b, i::int * 5 + 4, 1)::int + substr(b, i::int * 5 + 5, 1)::int, 1)), '') d from bits)
+select page_id, n::bigint payload_bytes, d payload_digest, case when page_id = first_id then 'response' else 'revisit' end record_type,
+       case when page_id <> first_id then first_id end refers_to
+from m join b32 using (h)
+"""
+
+
 def op7_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), mixing.PRODUCTION)
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -58,12 +96,16 @@ from d
 """
 
 QUERIES = {
+    "op1_pii_pseudonyms": op1_pii_pseudonyms,
     "op2_chat_formatting": op2_chat_formatting,
+    "op4_warc_archives": op4_warc_archives,
     "op7_poisson_mixing": op7_poisson_mixing,
+    "op8_byte_bpe": op8_byte_bpe,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES = {
+    "op4_warc_archives": OP4_SQL,
     "op2_chat_formatting": OP2_SQL,
     "op7_poisson_mixing": mixing.sql(mixing.PRODUCTION),
     "op9_exact_dedup": OP9_SQL,
