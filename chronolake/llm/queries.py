@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, mixing, pii, quality_rules, warc
+from . import bpe, chat, exact_dedup, mixing, pii, quality_classifier, quality_rules, warc
 from .common import table
 
 
@@ -47,6 +47,10 @@ select conv_id, n_turns, sha256(turns) turns_sha256, length(loss) loss_chars, sh
 """
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url_key", "time")
 
@@ -98,6 +102,7 @@ from d
 QUERIES = {
     "op1_pii_pseudonyms": op1_pii_pseudonyms,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_warc_archives": op4_warc_archives,
     "op7_poisson_mixing": op7_poisson_mixing,
     "op8_byte_bpe": op8_byte_bpe,
