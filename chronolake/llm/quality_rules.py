@@ -38,6 +38,8 @@ BINS, DISTANCE_BINS = 500.0, 50.0
 FLOOR = (0.25, 0.05, 0.04, 0.12, 0.12)
 #: Squared Mahalanobis distance; with five statistics about one normal row in 10^8 lies beyond.
 CUTOFF = 46.0
+#: A group's rows meet its estimate in so many parts, so that a large group spreads over tasks.
+SALTS = 32
 X = ("x0", "x1", "x2", "x3", "x4")
 PAIRS = [(i, j) for i in range(len(X)) for j in range(i + 1)]
 
@@ -111,6 +113,11 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return rows.alias("r").join(sizes.alias("s"), F.col("r.lang").eqNullSafe(F.col("s.lang")) & F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.*", "s.grp")
 
 
+def _meet(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with the one row of few that has their keys."""
+    return rows.join(few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "salt"], how)
+
+
 def _quantile(rows: DataFrame, keys: list[str], bin_: Column, share: float) -> DataFrame:
     """(keys, bin): the smallest bin up to which at least share of a key's rows lie. Counts are combined map-side."""
     counts = rows.groupBy(*keys, bin_.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -121,9 +128,9 @@ def _quantile(rows: DataFrame, keys: list[str], bin_: Column, share: float) -> D
 
 def _start(fit: DataFrame) -> DataFrame:
     """(grp, m0.., s0..): medians and robust standard deviations."""
-    long = fit.select("grp", F.posexplode(F.array(*X)).alias("dim", "x"))
+    long = fit.select("grp", "salt", F.posexplode(F.array(*X)).alias("dim", "x"))
     median = _quantile(long, ["grp", "dim"], F.round(F.col("x") * BINS), 0.5).withColumnRenamed("bin", "mid")
-    off = long.join(median, ["grp", "dim"]).select("grp", "dim", F.abs(F.round(F.col("x") * BINS) - F.col("mid")).alias("off"))
+    off = _meet(long, median, ["grp", "dim"]).select("grp", "dim", F.abs(F.round(F.col("x") * BINS) - F.col("mid")).alias("off"))
     mad = _quantile(off, ["grp", "dim"], F.col("off"), 0.5)
     both = median.join(mad, ["grp", "dim"])
     pick = lambda c, i: F.max(F.when(F.col("dim") == i, F.col(c))) / BINS
@@ -152,7 +159,7 @@ def _factor(moments: DataFrame) -> DataFrame:
 
 def _distance(rows: DataFrame, factor: DataFrame) -> DataFrame:
     """rows with d2, the squared Mahalanobis distance; null where the group has no estimate."""
-    out = rows.join(factor, "grp", "left")
+    out = _meet(rows, factor, ["grp"], "left")
     for i in range(len(X)):
         rest = F.col(X[i]) - F.col(f"m{i}")
         for k in range(i):
@@ -166,17 +173,17 @@ def _nearest(rows: DataFrame) -> DataFrame:
     """The rows of each group within the distance bin that COVER of them do not exceed."""
     bin_ = F.floor(F.log(F.col("d2") + 1e-6) * DISTANCE_BINS)
     edge = _quantile(rows, ["grp"], bin_, COVER).withColumnRenamed("bin", "edge")
-    return rows.join(edge, "grp").where(bin_ <= F.col("edge"))
+    return _meet(rows, edge, ["grp"]).where(bin_ <= F.col("edge"))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """One row per row of docs: statistics, base_failed, kept and d2 (the method's squared distance)."""
-    rows = cut(_grouped(cut(_vector(statistics(docs)))))
-    fit = rows.where("not base_failed").select("grp", *X)
+    rows = cut(_grouped(cut(_vector(statistics(docs)))).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")))
+    fit = rows.where("not base_failed").select("grp", "salt", *X)
     start = _start(fit)
-    first = fit.join(start, "grp")
+    first = _meet(fit, start, ["grp"])
     z = [(F.col(x) - F.col(f"m{i}")) / F.col(f"s{i}") for i, x in enumerate(X)]
-    near = _nearest(first.select("grp", *X, sum((v * v for v in z[1:]), z[0] * z[0]).alias("d2")))
+    near = _nearest(first.select("grp", "salt", *X, sum((v * v for v in z[1:]), z[0] * z[0]).alias("d2")))
     estimate = cut(_factor(_moments(near)))
     for _ in range(STEPS):
         estimate = cut(_factor(_moments(_nearest(_distance(fit, estimate)))))
