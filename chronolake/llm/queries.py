@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, mixing, pii, quality_classifier, quality_rules, warc
+from . import bpe, chat, exact_dedup, jaccard, mixing, pii, quality_classifier, quality_rules, warc
 from .common import table
 
 
@@ -70,6 +70,10 @@ from m join b32 using (h)
 """
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op7_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), mixing.PRODUCTION)
 
@@ -104,6 +108,7 @@ QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_warc_archives": op4_warc_archives,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_poisson_mixing": op7_poisson_mixing,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_exact_dedup": op9_exact_dedup,
