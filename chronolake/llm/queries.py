@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, jaccard, mixing, pii, quality_classifier, quality_rules, warc
+from . import bpe, chat, exact_dedup, jaccard, mixing, pii, quality_classifier, quality_rules, repeats, warc
 from .common import table
 
 
@@ -70,6 +70,10 @@ from m join b32 using (h)
 """
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.remove_repeats(table(spark, sf_dir, "documents"), length=100))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
@@ -108,6 +112,7 @@ QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_warc_archives": op4_warc_archives,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_poisson_mixing": op7_poisson_mixing,
     "op8_byte_bpe": op8_byte_bpe,
