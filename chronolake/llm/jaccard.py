@@ -38,7 +38,7 @@ from .graph import components
 BLOCK_TOKENS = 2_000_000
 CACHE_WORDS = 400_000
 #: Shingles of a cluster that one task compares; larger clusters are split into blocks.
-CLUSTER_SHINGLES = 4_000_000
+CLUSTER_SHINGLES = 150_000
 BITS, LEAF = 4096, 16
 
 
@@ -367,10 +367,10 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     members = cut(clusters.join(weight, "node").join(degree, "node").select("node", F.col("root").alias("cluster"), "n", "degree"))
     shape = cut(members.groupBy("cluster").agg(F.ceil(F.sum("n") / cluster_shingles).cast("int").alias("blocks"), F.max(F.struct("degree", (-F.col("node")).alias("at"))).alias("top")))
     placed = cut(members.join(shape, "cluster").select("node", "cluster", "blocks", (-F.col("top.at")).alias("hub")))
-    sets = _clustered_sets(docs, placed, words)
+    sets = cut(_clustered_sets(docs, placed, words))
     found = _links(sets.where("blocks <= 1"), num, den, None)
     if not placed.where("blocks > 1").isEmpty():
-        large = cut(sets.where("blocks > 1"))
+        large = sets.where("blocks > 1")
         by_hub = cut(_hub_links(large, num, den))
         found = found.unionByName(by_hub).unionByName(_links(large, num, den, by_hub))
     roots = components(found).withColumnRenamed("root", "component")
