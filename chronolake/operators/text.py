@@ -16,11 +16,12 @@ def grep(blobs: DataFrame, pattern: str, context: int = 0) -> DataFrame:
 
     blobs: path, sha, content (binary). Binary blobs are passed over. Contexts that overlap are
     united. The work is done on each blob's array of lines, so nothing is shuffled; blobs without
-    a match leave before any line is exploded.
+    a match leave before any line is exploded. A line is matched by itself, so the multi-line
+    flag is not needed (with it, ^ would not match an empty line in this regex dialect).
     """
     c = max(0, min(MAX_CONTEXT, context))
     lined = blobs.where(~C.is_binary(F.col("content"))).select("path", "sha", C.split_lines(C.text_of(F.col("content")), "grep").alias("lines"))
-    hits = F.transform("lines", lambda x: x.rlike(f"(?m){pattern}"))
+    hits = F.transform("lines", lambda x: x.rlike(pattern))
     found = lined.withColumn("hits", hits).where(F.exists("hits", lambda h: h))
     near = lambda i: F.exists(F.slice("hits", F.greatest(i - c, F.lit(0)) + 1, F.least(i, F.lit(c)) + c + 1), lambda h: h)
     rows = F.transform("lines", lambda x, i: F.struct((i + 1).cast("long").alias("line_number"), x.alias("line"), F.get("hits", i).alias("is_match"), near(i).alias("near")))
