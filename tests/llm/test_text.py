@@ -1,0 +1,388 @@
+"""Pseudonyms, classifier, quality rules, mixing, BPE, chat and archives."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from chronolake.llm import bpe, chat, mixing, pii, quality_classifier, quality_rules, queries, warc
+
+from . import cases
+
+# --- pseudonyms ------------------------------------------------------------------------------
+
+PRIVATE = {
+    "card": ["4041894974608795", "4041 8949 7460 8795", "378282246310005"], "iban": ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"], "ssn": ["123-45-6789"],
+    "phone": ["+1 (988) 555-2485", "+49 170 1234567", "+4917012345678"], "ipv4": ["42.144.35.254"], "email": ["Bosbt.42@mail8.example.com"], "date": ["1980-02-29", "24/12/2020", "12/24/2020", "29.02.2000"],
+    "secret": ["password=b7db7aa4a5fcc78305", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'],
+}
+PLAIN = ["4041894974608796", "DE88 3704 0044 0532 0130 00", "000-12-3456", "1.2.3", "300.1.2.3", "2021-02-30", "31.02.2000", "password is long", "secret: nothing", "version 1.2.3.4.5", "12 345", "Is the of with. And @ all", "1999"]
+
+
+@pytest.mark.parametrize("kind, text", [(k, t) for k, v in PRIVATE.items() for t in v])
+def test_private_data_go_and_come_back(kind, text):
+    p = pii.Pseudonyms(b"key")
+    for around in ("{}", "see {} there", "###{}###", "x {}, {}"):
+        whole = around.format(text, text)
+        new, found = p.replace(whole)
+        assert found == {kind: around.count("{}")} and text not in new and len(new) == len(whole)
+        assert p.replace(new)[1] == found  # it validates again
+        assert p.replace(new, back=True)[0] == whole
+        if around.count("{}") == 2:
+            assert new[2 : 2 + len(text)] == new[-len(text) :]  # equal values stay linked
+    assert pii.Pseudonyms(b"other").replace(text)[0] != p.replace(text)[0]
+
+
+@pytest.mark.parametrize("text", PLAIN)
+def test_other_text_stays(text):
+    assert pii.Pseudonyms(b"key").replace(text) == (text, {})
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(2, 40), min_size=1, max_size=14), st.randoms())
+def test_feistel_permutes(radices, r):
+    f = pii.Feistel(b"k")
+    digits = [r.randrange(x) for x in radices]
+    new = f.permute(digits, radices, b"t")
+    assert all(0 <= d < x for d, x in zip(new, radices)) and f.permute(new, radices, b"t", back=True) == digits
+
+
+def test_feistel_is_one_to_one():
+    f = pii.Feistel(b"k")
+    assert len({tuple(f.permute([a, b, c], [5, 7, 3], b"")) for a in range(5) for b in range(7) for c in range(3)}) == 105
+
+
+def test_pseudonyms_of_a_table(spark):
+    df = cases.frame(spark, cases.rows([(500, "card 4041894974608795", "en", "s"), (501, "4041-8949-7460-8795.", "en", "s")])).withColumn("n_found", F.lit("old"))
+    out = pii.pseudonymise(df, b"key")
+    assert [c for c in out.columns if c != "kinds"] == df.columns and dict(out.dtypes)["n_found"] == "bigint"
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert rows[5]["text"] is None and rows[6]["text"] == "" and rows[1]["n_found"] == 0
+    assert rows[500]["text"][5:] == rows[501]["text"].replace("-", "")[:-1]
+    assert out.count() == df.count() and pii.pseudonymise(cases.empty(spark), b"k").count() == 0
+
+
+# --- classifier ------------------------------------------------------------------------------
+
+
+def labelled(spark, n=900):
+    r = random.Random(8)
+    data, labels = [], []
+    for i in range(n):
+        good = r.random() < 0.7
+        words = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 8))) for _ in range(r.randrange(5, 60))]
+        data.append((i, " ".join(words) if good else " ".join(w.upper() + "!!" for w in words) if i % 2 else " ".join(words[:3] * 15), "en", "s"))
+        labels.append((i, int(good), 0))
+    return cases.frame(spark, data), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_classifier_learns_and_held_out_rows_are_not_used(spark):
+    docs, labels = labelled(spark)
+    rows = {r["doc_id"]: r for r in quality_classifier.classify(docs, labels).collect()}
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    import zlib
+
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in rows.items())
+    held = [i for i, r in rows.items() if r["held_out"]]
+    assert np.mean([rows[i]["predicted"] == truth[i] for i in held]) > 0.95
+    wrong = labels.withColumn("quality", F.when(quality_classifier.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert {i: r["score"] for i, r in rows.items()} == {r["doc_id"]: r["score"] for r in quality_classifier.classify(docs, wrong).collect()}
+
+
+def test_compiled_rules_score_as_the_model_does(spark):
+    docs, labels = labelled(spark)
+    stats = quality_classifier.with_statistics(docs, ["doc_id"])
+    model = quality_classifier.train(stats, labels)
+    assert 0 < len(model.rules) < quality_classifier.TREES * 14
+    rows = stats.select("__stats.*", model.column().alias("score")).toPandas()
+    assert np.allclose(model.score(rows[list(quality_classifier.STATS)].to_numpy()), rows["score"])
+
+
+def test_classifier_on_odd_tables(spark):
+    df = cases.frame(spark)
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    odd = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, None, 0), (None, 0, 0), (5, 1, 0)], none.schema)
+    for labels in (none, odd):
+        rows = quality_classifier.classify(df, labels).collect()
+        assert len(rows) == df.count() and all(0 <= r["score"] <= 1 for r in rows)
+    assert quality_classifier.classify(cases.empty(spark), none).count() == 0
+    docs, labels = labelled(spark)
+    kept = quality_classifier.keep_good(docs, labels)
+    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+
+
+# --- quality rules ---------------------------------------------------------------------------
+
+
+def counted(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = defaultdict(list)
+    for i in range(len(words) - 7):
+        grams[tuple(words[i : i + 8])].append(i)
+    covered = {i + j for at in grams.values() if len(at) > 1 for i in at for j in range(8)}
+    failed = len(words) < 20 or 100 * len(covered) > 30 * len(words)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), failed
+
+
+def test_statistics(spark):
+    r = random.Random(7)
+    loops = [(3000 + i, " ".join(r.choice("abc") for _ in range(r.randrange(1, 60))) + r.choice(["", "\n\n x \n x\n"]), "en", "s") for i in range(150)]
+    data = cases.rows(loops)
+    got = Counter((x["doc_id"], *(x[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"))) for x in quality_rules.quality_rules(cases.frame(spark, data)).collect())
+    assert got == Counter((i, *counted(t)) for i, t, _, _ in data)
+
+
+def numpy_mcd(x):
+    """The same estimate of one group in numpy: the binned start, then concentration steps."""
+    floor = np.array(quality_rules.FLOOR)
+    binned = np.floor(np.abs(x) * quality_rules.BINS + 0.5) * np.sign(x)
+    low = lambda v, q: np.sort(v, axis=0)[int(np.ceil(q * len(v))) - 1]
+    mid = low(binned, 0.5)
+    scale = np.maximum(1.4826 * low(np.abs(binned - mid), 0.5) / quality_rules.BINS, floor)
+    d2 = (((x - mid / quality_rules.BINS) / scale) ** 2).sum(1)
+    factor = quality_rules._consistency(quality_rules.COVER, x.shape[1])
+    for _ in range(quality_rules.STEPS + 1):
+        bins = np.floor(np.log(d2 + 1e-6) * quality_rules.DISTANCE_BINS)
+        near = x[bins <= low(bins, quality_rules.COVER)]
+        mean = near.mean(0)
+        cov = factor * ((near.T @ near) / len(near) - np.outer(mean, mean)) + np.diag(floor**2)
+        d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+    return d2
+
+
+def test_robust_distances(spark):
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9))) for _ in range(400)]
+    prose = lambda n, junk=0: " ".join(r.choice(words) + ("###" if r.random() < junk else "") for _ in range(n))
+    data = [(i, prose(r.randrange(40, 200)), "en", "a") for i in range(300)] + [(1000 + i, prose(100, 0.6), "en", "a") for i in range(60)]
+    data += [(2000 + i, prose(60), "de", f"s{i}") for i in range(70)] + [(3000 + i, prose(60), "fr", f"s{i}") for i in range(9)]
+    rows = quality_rules.quality_rules(cases.frame(spark, data)).collect()
+    kept = {x["doc_id"]: x["kept"] for x in rows}
+    assert all(kept[i] for i, *_ in data if not 1000 <= i < 2000) and not any(kept[1000 + i] for i in range(60))
+    mine = [x for x in rows if x["doc_id"] < 2000 and not x["base_failed"]]
+    stats = quality_rules._vector(quality_rules.statistics(cases.frame(spark, data))).where("doc_id < 2000 and not base_failed").toPandas().set_index("doc_id")
+    want = numpy_mcd(stats.loc[[x["doc_id"] for x in mine], list(quality_rules.X)].to_numpy())
+    assert np.allclose([x["d2"] for x in mine], want, rtol=1e-6)
+
+
+def test_quality_rules_on_odd_tables(spark):
+    assert quality_rules.quality_rules(cases.empty(spark)).count() == 0
+    rows = {r["doc_id"]: r for r in quality_rules.quality_rules(cases.frame(spark)).collect()}
+    assert rows[5]["base_failed"] and not rows[5]["kept"] and rows[13]["base_failed"] and rows[1]["kept"]
+
+
+# --- mixing ----------------------------------------------------------------------------------
+
+MIX = mixing.Mix({"src0": 0.5, "src1": 0.1}, epochs=2.0, seed="t")
+
+
+def test_mixing_is_what_its_sql_says(spark):
+    import duckdb
+
+    data = [x for x in cases.rows() if x[0] is not None or x[1] is not None]
+    df = cases.frame(spark, data)
+    pdf = df.select("doc_id", "text", "lang", "source", "n_chars").toPandas().astype({"doc_id": "Int64", "n_chars": "Int64"})
+    con = duckdb.connect()
+    con.register("documents", pdf)
+    want = Counter((r[0], r[1], r[3], int(r[5]), round(r[6], 9), r[7]) for r in con.execute(mixing.sql(MIX)).fetchall())
+    got = Counter((r["doc_id"], r["text"], r["source"], r["copy"], round(r["rate"], 9), r["shuffle_key"]) for r in mixing.mix(df, MIX).collect())
+    assert got == want and sum(got.values()) > 0
+
+
+def test_mixing_meets_its_targets(spark):
+    data = [(i, "x" * (50 + i % 7), "en", "src0" if i % 3 else "src1" if i % 2 else None) for i in range(6000)]
+    rows = mixing.mix(cases.frame(spark, data), MIX).groupBy("source").agg(F.sum(F.length("text")).alias("n")).collect()
+    total = 2 * sum(len(t) for _, t, _, _ in data)
+    share = {r["source"]: r["n"] / total for r in rows}
+    assert abs(share["src0"] - 0.5) < 0.02 and abs(share["src1"] - 0.1) < 0.02 and abs(share[None] - 0.4) < 0.03
+
+
+def test_mixing_on_odd_tables(spark):
+    assert mixing.mix(cases.empty(spark), MIX).count() == 0
+    out = mixing.mix(cases.frame(spark), mixing.Mix())
+    assert set(cases.frame(spark).columns) | {"copy", "rate", "shuffle_key"} == set(out.columns) and len(out.columns) == len(set(out.columns)) and out.count() > 0
+    with pytest.raises(Exception, match="rate too large"):
+        mixing.mix(cases.frame(spark, [(1, "x", "en", "src0"), (2, "x" * 10_000, "en", "b")]), mixing.Mix({"src0": 1.0})).count()
+
+
+def test_poisson_inversion(spark):
+    import math
+
+    u = spark.range(1000).select((F.col("id") / 1000.0).alias("u"))
+    got = [r[0] for r in u.select(mixing.poisson(F.lit(2.5), F.col("u"), 60)).collect()]
+
+    def k(x):
+        n, p = 0, math.exp(-2.5)
+        c = p
+        while x >= c:
+            n += 1
+            p *= 2.5 / n
+            c += p
+        return n
+
+    assert got == [k(i / 1000) for i in range(1000)]
+
+
+# --- BPE -------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(queries.tokenizer_path())
+
+
+ALPHABET = "aab  \n\t\r's'll019é漢字 \x1c\x1f\u0085!?.,-_ ẞ١Ⅷ|<>"
+TEXTS = st.lists(st.one_of(st.text(ALPHABET, max_size=30), st.just("<|endoftext|>"), st.text(max_size=12)), max_size=4).map("".join)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(TEXTS, max_size=6))
+def test_ids_are_those_of_the_library(tokenizer, texts):
+    vocab = test_ids_are_those_of_the_library.__dict__.setdefault("vocab", bpe.Vocabulary(queries.tokenizer_path()))
+    for text, ids in zip(texts, bpe.Encoder(vocab).encode(texts), strict=True):
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert ids.tolist() == want and bpe.decode_ids(vocab, ids) == tokenizer.decode(want, skip_special_tokens=False)
+
+
+def test_blocks_and_full_tables_do_not_matter(tokenizer, monkeypatch):
+    for name, value in (("BLOCK_WORDS", 7), ("BLOCK_CHARS", 50), ("TABLE_WORDS", 5)):
+        monkeypatch.setattr(bpe, name, value)
+    texts = ["", cases.long_text(200), "aaaa" * 40, "<|endoftext|>" * 3 + "x", "", "  a  b"]
+    got = list(bpe.Encoder(bpe.Vocabulary(queries.tokenizer_path())).encode(texts))
+    assert [x.tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_bpe_of_a_table(spark, tokenizer):
+    df = cases.frame(spark)
+    path = queries.tokenizer_path()
+    want = Counter()
+    for i, t, _, _ in cases.rows():
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids
+        want[i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += 1
+    assert Counter(tuple(r) for r in bpe.digest(df, path).collect()) == want
+    back = bpe.decode(bpe.encode(df, path), path)
+    assert Counter(map(tuple, back.collect())) == Counter((i, t or "") for i, t, _, _ in cases.rows())
+    assert bpe.digest(cases.empty(spark), path).count() == 0
+
+
+def test_other_tokenizers_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError):
+        bpe.Vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+
+
+# --- chat ------------------------------------------------------------------------------------
+
+NODES = "tree_id long, node_id long, parent_id long, role string, text string, score double, formatted string"
+
+
+def tree(spark, rows):
+    return spark.createDataFrame([(*r, "x") for r in rows], NODES)
+
+
+def test_branches_are_ranked_and_formatted(spark):
+    rows = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "a", 1.0), (1, 3, 1, "assistant", "b", 2.0), (1, 4, 2, "user", "c", 5.0), (1, 5, 3, "user", None, 0.5), (2, 7, 99, None, "alone", None)]
+    out = chat.format_trees(tree(spark, rows), branches=2).withColumn("turns", chat.parse(F.col("formatted"))).collect()
+    got = {(r["tree_id"], r["branch"]): [tuple(t) for t in r["turns"]] for r in out}
+    assert got == {(1, 1): [("user", "q"), ("assistant", "a"), ("user", "c")], (1, 2): [("user", "q"), ("assistant", "b"), ("user", "")], (2, 1): [("", "alone")]}
+    assert chat.format_trees(tree(spark, rows)).count() == 2
+
+
+def test_long_chains_and_wide_trees(spark):
+    chain = [(1, i, i - 1 if i else None, "user" if i % 2 == 0 else "assistant", f"t{i}", 0.0) for i in range(300)]
+    wide = [(2, 0, None, "user", "root", 0.0)] + [(2, i, 0, "assistant", f"leaf{i}", float(i % 50)) for i in range(1, 400)]
+    out = {r["tree_id"]: r["turns"] for r in chat.format_trees(tree(spark, chain + wide)).select("tree_id", chat.parse(F.col("formatted")).alias("turns")).collect()}
+    assert [t["text"] for t in out[1]] == [f"t{i}" for i in range(300)]
+    assert [t["text"] for t in out[2]] == ["root", "leaf49"]
+
+
+def test_cycles_are_errors(spark):
+    with pytest.raises(ValueError):
+        chat.format_trees(tree(spark, [(1, 1, 2, "user", "a", 0.0), (1, 2, 1, "user", "b", 0.0)])).count()
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "a|b<c>", ""]), st.text("%<|>[]/s25CB \n\\é", max_size=25)), min_size=1, max_size=6))
+def test_turns_are_read_back(spark, turns):
+    df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    row = chat.format_trees(chat.turn_nodes(df)).select(chat.parse(F.col("formatted")).alias("turns"), chat.masked(F.col("formatted"), F.col("loss_spans")).alias("loss"), "formatted").first()
+    assert [tuple(t) for t in row["turns"]] == turns and row["loss"] == "".join(t for r, t in turns if r == "assistant")
+    assert row["formatted"].count("</s>") == len(turns) and "[INST]" not in row["formatted"]
+
+
+def test_chat_on_odd_tables(spark):
+    schema = "conv_id long, turn long, role string, text string, up long, start long"
+    rows = [(1, 0, "user", None, 1, 1), (1, 0, "user", None, 1, 1), (1, 5, None, "x", 1, 1), (None, 0, "assistant", "y", 1, 1), (None, None, "user", "z", 1, 1)]
+    out = {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in chat.digest(chat.format_trees(chat.turn_nodes(spark.createDataFrame(rows, schema)))).collect()}
+    assert out == {1: (3, 0), None: (2, 1)}
+    assert chat.format_trees(chat.turn_nodes(spark.createDataFrame([], schema))).count() == 0
+
+
+# --- archives --------------------------------------------------------------------------------
+
+PAGES = "page_id long, url string, html string, run string, offset string, digest string"
+
+
+def test_archives(spark, tmp_path):
+    r = random.Random(2)
+    rows = [(i, f"http://h{i % 5}.example.org/{r.randrange(40)}", r.choice(["", None, "<p>x</p>", f"é{i}", "a\r\n\r\nb"])) for i in range(120)]
+    rows += [(500, None, "<p>x</p>"), (501, "http://x/\r\nInjected: 1", "y"), (3, "http://again/", "z3"), (3, "http://again/", "z3"), (None, "http://none/", "z3")]
+    df = spark.createDataFrame([(*x, "a", "b", "c") for x in rows], PAGES)
+    captures = warc.write(df, str(tmp_path / "w"))
+    back = warc.read(captures).collect()
+    payload = lambda h: (h or "").encode()
+    first = {}
+    for i, _, h in rows:
+        if i is not None:
+            first[payload(h)] = min(first.get(payload(h), i), i)
+    import base64
+
+    digest = lambda h: base64.b32encode(hashlib.sha1(payload(h)).digest()).decode()
+    want = Counter((i, len(payload(h)), digest(h), "response" if first[payload(h)] == i else "revisit", None if first[payload(h)] == i else first[payload(h)]) for i, _, h in rows)
+    assert Counter((x["page_id"], x["payload_bytes"], x["payload_digest"], x["record_type"], x["refers_to"]) for x in back) == want
+    index = warc.histories(captures).collect()
+    keys = [(x["url_key"], x["time"], x["page_id"] is not None, x["page_id"] or 0) for x in index]
+    assert len(keys) == len(rows) and keys == sorted(keys)
+    assert all(b"Injected" not in line for p in (tmp_path / "w").iterdir() for _, raw in warc.members(p.open("rb")) for line in raw.split(b"\r\n") if line.startswith(b"Injected"))
+    assert Counter(x["page_id"] for x in warc.round_trip(df).collect()) == Counter(i for i, _, _ in rows)
+
+
+def test_small_payloads_can_be_kept(spark):
+    df = spark.createDataFrame([(1, "a", "x", "", "", ""), (2, "b", "x", "", "", ""), (3, "a", "long one", "", "", ""), (4, "a", "long one", "", "", "")], PAGES)
+    assert {r["page_id"]: r["record_type"] for r in warc.round_trip(df, least_bytes=2).collect()} == {1: "response", 2: "response", 3: "response", 4: "revisit"}
+    assert warc.round_trip(df.limit(0)).count() == 0
+
+
+def test_files_roll(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ROLL_BYTES", 500)
+    df = spark.createDataFrame([(i, "u", f"page {i}", "", "", "") for i in range(30)], PAGES).coalesce(1)
+    captures = warc.write(df, str(tmp_path / "w"))
+    assert len(list((tmp_path / "w").iterdir())) > 3 and warc.read(captures).count() == 30
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 30), max_size=12).map(sorted), max_size=9))
+def test_loser_tree(runs):
+    assert list(warc.LoserTree([iter(r) for r in runs], lambda x: x)) == sorted(x for r in runs for x in r)
+
+
+def test_members_of_a_stream():
+    import gzip
+    import io
+
+    data = [b"", b"x" * 5000, bytes(range(256))]
+    packed = [gzip.compress(x) for x in data]
+    for size in (1, 7, 1 << 20):
+        got = list(warc.members(io.BytesIO(b"".join(packed)), size))
+        assert [x for _, x in got] == data and [o for o, _ in got] == [sum(map(len, packed[:i])) for i in range(3)]
