@@ -123,6 +123,48 @@ def log(walked: DataFrame, commits: DataFrame, keep: Column | None = None, limit
     return ranked if limit is None else ranked.where(F.col("rank") <= max(1, limit))
 
 
+def _topo_kernel(limit: int | None) -> Callable:
+    def kernel(parents: dict[str, list[str]], rows: list[tuple]) -> Iterator[tuple]:
+        """rows: heads (p is null) and times of commits (p is "t")."""
+        import heapq
+
+        times = {s: n for s, n, p in rows if p is not None}
+        seen, stack = set(), [s for s, _, p in rows if p is None and s in parents]
+        while stack:
+            s = stack.pop()
+            if s not in seen:
+                seen.add(s)
+                stack += [p for p in parents[s] if p in parents]
+        children = dict.fromkeys(seen, 0)
+        for s in seen:
+            for p in set(parents[s]) & seen:
+                children[p] += 1
+        ready = [(-(times.get(s) or 0), s) for s, n in children.items() if not n]
+        heapq.heapify(ready)
+        at = 0
+        while ready and (limit is None or at < limit):
+            _, s = heapq.heappop(ready)
+            yield s, at
+            at += 1
+            for p in set(parents[s]) & seen:
+                children[p] -= 1
+                if not children[p]:
+                    heapq.heappush(ready, (-(times.get(p) or 0), p))
+
+    return kernel
+
+
+def revwalk(parents: DataFrame, commits: DataFrame, heads: DataFrame, limit: int | None = None) -> DataFrame:
+    """(repo, sha, pos): what heads (repo, sha) reach, children before parents, newer before older where both may come.
+
+    commits: repo, sha, author_ts; equal times go by sha. limit: at most so many per repository.
+    """
+    none, text = F.lit(None).cast("string"), F.lit("t")
+    rows = heads.select("repo", F.lit(1).alias("kind"), F.col("sha").alias("a"), F.lit(0).cast("long").alias("n"), none.alias("p"))
+    rows = rows.unionByName(commits.select("repo", F.lit(1).alias("kind"), F.col("sha").alias("a"), F.col("author_ts").cast("long").alias("n"), text.alias("p")))
+    return _walked(parents, rows, _topo_kernel(limit), "repo string, sha string, pos long", ["repo", "sha", "pos"], [pa.string(), pa.string(), pa.int64()])
+
+
 def _base_kernel(max_depth: int, best: bool) -> Callable:
     def first(parents: dict[str, list[str]], a: str, b: str) -> str | None:
         """The first meeting of two level walks that take turns, a before b."""

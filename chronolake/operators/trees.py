@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.udfs import parse_tree
 from ..plans.shared import cut
+from .text import diff_blobs, pair_by_sha
 
 EMPTY_SHA = "4b825dc642cb6eb9a060e54bf8d69288fbee4904"  # of a tree without entries
 
@@ -74,6 +75,28 @@ def merge_snapshots(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: l
     return all_.select(*keys, sha.alias("sha"), conflict.alias("conflict")).where(F.col("sha").isNotNull() | F.col("conflict"))
 
 
+def cherry_pick(before: DataFrame, commit: DataFrame, head: DataFrame, keys: list[str]) -> DataFrame:
+    """head with what commit changed against the snapshot before it; as merge_snapshots."""
+    return merge_snapshots(before, head, commit, keys)
+
+
+def revert(before: DataFrame, commit: DataFrame, head: DataFrame, keys: list[str]) -> DataFrame:
+    """head without what commit changed against the snapshot before it; as merge_snapshots."""
+    return merge_snapshots(commit, head, before, keys)
+
+
+def diff(old: DataFrame, new: DataFrame, blobs: DataFrame, context: int = 3) -> DataFrame:
+    """Patches between two snapshots (path, sha) with the contents of blobs (sha, content): only files that differ are read."""
+    changes = compare(old, new, ["path"])
+    return diff_blobs(pair_by_sha(changes, blobs), context)
+
+
+def checkout(entries: DataFrame, roots: DataFrame, blobs: DataFrame) -> DataFrame:
+    """(root, path, mode, type, content) of the files below roots, for write_worktree; files without content are left out."""
+    files = flatten(entries, roots)
+    return files.join(blobs.select("sha", "content"), "sha").select("root", "path", "mode", F.lit("blob").alias("type"), "content")
+
+
 def build(files: DataFrame, roots: list[str]) -> tuple[DataFrame, DataFrame]:
     """(root trees, all tree objects) of files (roots, path, mode, sha).
 

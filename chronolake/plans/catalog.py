@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import udfs as U
-from ..operators import history, objects, provenance, stats, text, trees
-from ..sources import stores
+from ..operators import history, objects, provenance, refs, stats, text, trees
+from ..sources import stores, wire
 from . import model as M
 from .shared import scratch
 
@@ -782,3 +782,127 @@ def worktree(spark, d):
     stores.write_worktree(w, path).agg(F.sum("written")).first()
     there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return there.agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+
+
+# --- messages, refs and compositions -----------------------------------------------------------
+
+ORDER_REFS = "select o_custkey, 'refs/heads/b' || o_orderkey as name, sha1(o_orderkey::varchar) sha from orders"
+
+
+def _framed(rows: DataFrame, key: str, order: str, line) -> DataFrame:
+    """(key, data): the framed lines of each key in order, then a flush."""
+    one = F.array_sort(F.collect_list(F.struct(F.col(order), C.pkt_line(line).alias("l"))))
+    return rows.groupBy(key).agg(F.concat(F.array_join(F.transform(one, lambda x: x["l"]), ""), F.lit("0000")).cast("binary").alias("data"))
+
+
+@query("S15_refs_v1", ORDER_REFS)
+def refs_v1(spark, d):
+    o = M.table(spark, d, "orders")
+    line = F.concat(F.sha1(F.col("o_orderkey").cast("string")), F.lit(" refs/heads/b"), "o_orderkey", F.lit("\n"))
+    framed = _framed(o, "o_custkey", "o_orderkey", line)
+    greeting = F.lit("001e# service=git-upload-pack\n0000").cast("binary")
+    return wire.refs(framed.select("o_custkey", F.concat(greeting, "data").alias("data")), "o_custkey", "data")
+
+
+@query("S16_refs_v2", ORDER_REFS)
+def refs_v2(spark, d):
+    o = M.table(spark, d, "orders")
+    line = F.concat(F.sha1(F.col("o_orderkey").cast("string")), F.lit(" refs/heads/b"), "o_orderkey", F.lit(" symref-target:x\n"))
+    return wire.refs(_framed(o, "o_custkey", "o_orderkey", line), "o_custkey", "data", 2)
+
+
+@query("S18_demux", "select conv_id, string_agg(text, '' order by turn) filter (where role = 'assistant') pack, string_agg(text, '' order by turn) filter (where role = 'user') progress, coalesce(string_agg(text, '' order by turn) filter (where role = 'system'), '') errors from conversations group by 1")
+def demux(spark, d):
+    c = M.table(spark, d, "conversations")
+    channel = F.when(F.col("role") == "assistant", "\x01").when(F.col("role") == "user", "\x02").otherwise("\x03")
+    framed = _framed(c, "conv_id", "turn", F.concat(channel, "text"))
+    nak = framed.select("conv_id", F.concat(F.lit("0008NAK\n").cast("binary"), "data").alias("data"))
+    return wire.fetched(nak, "conv_id", "data").select("conv_id", F.col("pack").cast("string").alias("pack"), "progress", "errors")
+
+
+@query("S19_push_reports", "select o_custkey, true as unpacked, 'refs/heads/b' || o_orderkey as ref, o_orderkey % 3 <> 0 as ok, case when o_orderkey % 3 = 0 then 'stale ' || o_orderkey end as error from orders")
+def push_reports(spark, d):
+    o = M.table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    line = F.when(k % 3 == 0, F.concat(F.lit("ng refs/heads/b"), k, F.lit(" stale "), k)).otherwise(F.concat(F.lit("ok refs/heads/b"), k))
+    framed = _framed(o, "o_custkey", "o_orderkey", F.concat(line, F.lit("\n")))
+    return wire.push_reports(framed.select("o_custkey", F.concat(F.lit("000eunpack ok\n").cast("binary"), "data").alias("data")), "o_custkey", "data")
+
+
+@query("S20_pkt_decode", "select o_custkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as ord, o_orderpriority as line from orders")
+def pkt_decode(spark, d):
+    framed = _framed(M.table(spark, d, "orders"), "o_custkey", "o_orderkey", F.col("o_orderpriority"))
+    return wire.lines(framed, "o_custkey", "data").select("o_custkey", "ord", F.col("line").cast("string").alias("line"))
+
+
+REF_UPDATES = """
+r as (select o_custkey::varchar repo, 'refs/heads/' || o_orderstatus as name, sha1(max(o_orderkey)::varchar) sha from orders group by 1, 2),
+u as (select repo, name, case when repo::int % 3 = 0 then sha1('other') else sha end old_sha, case when repo::int % 4 = 0 then repeat('0', 40) else sha1(sha) end new_sha from r where repo::int % 5 <> 0)"""
+
+
+def _ref_updates(spark, d):
+    o = M.table(spark, d, "orders")
+    r = o.groupBy(F.col("o_custkey").cast("string").alias("repo"), F.concat(F.lit("refs/heads/"), "o_orderstatus").alias("name")).agg(F.sha1(F.max("o_orderkey").cast("string")).alias("sha"))
+    k = F.col("repo").cast("int")
+    u = r.where(k % 5 != 0).select("repo", "name", F.when(k % 3 == 0, F.sha1(F.lit("other"))).otherwise(F.col("sha")).alias("old_sha"), F.when(k % 4 == 0, "0" * 40).otherwise(F.sha1("sha")).alias("new_sha"))
+    return refs.update(r, u)
+
+
+@query("S19_ref_updates", f"with {REF_UPDATES} select u.repo, u.name, r.sha = u.old_sha as ok, case when r.sha <> u.old_sha then 'stale info' end as error from u join r using (repo, name)")
+def ref_updates(spark, d):
+    return _ref_updates(spark, d)[1]
+
+
+@query("R14_refs_after_updates", f"with {REF_UPDATES} select r.repo, r.name, case when r.sha = u.old_sha then u.new_sha else r.sha end sha from r left join u on u.repo = r.repo and u.name = r.name where u.repo is null or r.sha <> u.old_sha or u.new_sha <> repeat('0', 40)")
+def refs_after(spark, d):
+    return _ref_updates(spark, d)[0]
+
+
+def _snapshots(spark, d):
+    f, k = M.customer_files(spark, d), F.col("c_custkey")
+    head = f.where(k % 7 != 0).select("path", F.when(k % 4 == 0, F.sha1("sha")).otherwise(F.col("sha")).alias("sha"))
+    commit = f.where(k % 11 != 0).select("path", F.when(k % 6 == 0, F.sha2("sha", 256)).otherwise(F.col("sha")).alias("sha"))
+    return f.select("path", "sha"), commit, head
+
+
+PICK = f"with {FILES}, p as (select path, sha from f), o as (select path, case when c_custkey % 4 = 0 then sha1(sha) else sha end sha from f where c_custkey % 7 <> 0), c as (select path, case when c_custkey % 6 = 0 then sha256(sha) else sha end sha from f where c_custkey % 11 <> 0), x as (select coalesce(b.path, o.path, t.path) path, b.sha b, o.sha o, t.sha t from {{b}} b full join o on o.path = b.path full join {{t}} t on t.path = coalesce(b.path, o.path)) select path, case when t is not distinct from b then o else t end sha, (o is distinct from b and t is distinct from b and o is distinct from t) as conflict from x where case when t is not distinct from b then o else t end is not null or (o is distinct from b and t is distinct from b and o is distinct from t)"
+
+
+@query("R14_cherry_pick", PICK.format(b="p", t="c"))
+def cherry_pick(spark, d):
+    before, commit, head = _snapshots(spark, d)
+    return trees.cherry_pick(before, commit, head, ["path"])
+
+
+@query("R14_revert", PICK.format(b="c", t="p"))
+def revert(spark, d):
+    before, commit, head = _snapshots(spark, d)
+    return trees.revert(before, commit, head, ["path"])
+
+
+@query("R14_diff_refs", f"with {FILES} select path, 'modified' as status, false is_binary, strlen(c)::bigint old_size, strlen(c)::bigint + 4 new_size, '--- a/' || path || chr(10) || '+++ b/' || path || chr(10) || '@@ -1,1 +1,1 @@' || chr(10) || '-' || c || chr(10) || '+' || c || ' new' || chr(10) as patch from f where c_custkey % 10 = 0")
+def diff_refs(spark, d):
+    f, k = M.customer_files(spark, d), F.col("c_custkey")
+    name = F.element_at(F.split("path", "/"), 3)
+    content = F.when(k % 10 == 0, F.concat(name, F.lit(" new"))).otherwise(name).cast("binary")
+    new = f.select("path", C.object_id("blob", content).alias("sha"), content.alias("content"))
+    blobs = new.select("sha", "content").unionByName(f.select("sha", name.cast("binary").alias("content"))).dropDuplicates(["sha"])
+    return trees.diff(f.select("path", "sha"), new.select("path", "sha"), blobs)
+
+
+@query("S12_checkout", f"with {FILES} select count(*)::bigint as files, sum(strlen(c))::bigint as bytes from f where r = 'ASIA'")
+def checkout(spark, d):
+    path = scratch(spark, "checkout")
+    f = M.customer_files(spark, d)
+    blobs = f.select("sha", F.element_at(F.split("path", "/"), 3).cast("binary").alias("content")).dropDuplicates(["sha"])
+    roots = spark.range(1).select(F.lit("asia").alias("root"), F.lit("r:ASIA").alias("tree_sha"))
+    stores.write_worktree(trees.checkout(M.tree_entries(spark, d), roots, blobs), path).agg(F.sum("written")).first()
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return there.agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+
+
+@query("L5_revwalk", LOG + " select repo, n::varchar sha, row_number() over (partition by repo order by n desc) - 1 as pos from w")
+def revwalk(spark, d):
+    """Times grow with n here, so children come before parents by n alone."""
+    commits, parents = M.order_graph(spark, d)
+    return history.revwalk(parents, commits.select("repo", "sha", F.col("n").alias("author_ts")), _heads(commits).select("repo", "sha"))

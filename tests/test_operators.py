@@ -308,3 +308,46 @@ def test_stream_folds_like_the_batch(spark, tmp_path):
     want = provenance.upsert(spark.createDataFrame(rows, schema), ["key"], ["agent"], ["seq"], "created_at")
     names = ["key", "agent"]
     assert sorted(map(tuple, got.select(*names).collect()), key=repr) == sorted(map(tuple, want.select(*names).collect()), key=repr)
+
+
+def test_revwalk(spark):
+    times = {"A": 1, "B": 5, "C": 3, "D": 9, "E": 2, "F": 4, "M": 0, "G": 7}
+    commits = spark.createDataFrame([("r", s, t) for s, t in times.items()], "repo string, sha string, author_ts long")
+    heads = spark.createDataFrame([("r", "M"), ("r", "D")], "repo string, sha string")
+    order = [r["sha"] for r in history.revwalk(graph(spark, DAG), commits, heads).orderBy("pos").collect()]
+    assert order == ["D", "M", "F", "C", "B", "E", "A"]
+    place = {s: i for i, s in enumerate(order)}
+    assert all(place[s] < place[p] for s in place for p in DAG[s])
+    assert history.revwalk(graph(spark, DAG), commits, heads, 2).count() == 2
+
+
+def test_ref_updates(spark):
+    from chronolake.operators import refs
+
+    a, b, none = "a" * 40, "b" * 40, codec.NULL_SHA
+    held = spark.createDataFrame([("r", "refs/heads/x", a), ("r", "refs/heads/y", a)], "repo string, name string, sha string")
+    asked = [("r", "refs/heads/x", a, b), ("r", "refs/heads/y", b, a), ("r", "refs/heads/new", none, b), ("r", "bad", none, b), ("r", "refs/z", "x", b), ("q", "refs/heads/x", a, none)]
+    after, outcome = refs.update(held, spark.createDataFrame(asked, "repo string, name string, old_sha string, new_sha string"))
+    assert {(r["repo"], r["name"]): r["sha"] for r in after.collect()} == {("r", "refs/heads/x"): b, ("r", "refs/heads/y"): a, ("r", "refs/heads/new"): b}
+    assert {(r["repo"], r["name"]): r["error"] for r in outcome.collect()} == {("r", "refs/heads/x"): None, ("r", "refs/heads/y"): "stale info", ("r", "refs/heads/new"): None, ("r", "bad"): "not a ref name", ("r", "refs/z"): "not a sha", ("q", "refs/heads/x"): "stale info"}
+    assert {r["short"] for r in refs.under(after, "refs/heads/").collect()} == {"x", "y", "new"}
+
+
+def test_wire_rows(spark):
+    from chronolake.sources import wire
+
+    rows = spark.createDataFrame([(1, codec.pkt_line("a") + codec.FLUSH + codec.pkt_line("b")), (2, None), (3, b"zz")], "id long, data binary")
+    assert [(r["id"], r["section"], bytes(r["line"])) for r in wire.lines(rows, "id", "data").orderBy("section").collect()] == [(1, 0, b"a"), (1, 1, b"b")]
+    empty = wire.fetched(rows, "id", "data").collect()
+    assert len(empty) == 3 and wire.push_reports(rows, "id", "data").count() == 0
+
+
+def test_merges_of_snapshots(spark):
+    side = lambda x: spark.createDataFrame(list(x.items()), "path string, sha string")
+    base, ours, theirs = side({"a": "1", "b": "1", "c": "1", "d": "1"}), side({"a": "2", "b": "1", "c": "2", "e": "9"}), side({"a": "1", "b": "3", "c": "3", "d": "4"})
+    rows = {r["path"]: (r["sha"], r["conflict"]) for r in trees.merge_snapshots(base, ours, theirs, ["path"]).collect()}
+    assert rows == {"a": ("2", False), "b": ("3", False), "c": ("3", True), "d": ("4", True), "e": ("9", False)}
+    picked = {r["path"]: r["sha"] for r in trees.cherry_pick(base, side({"a": "1", "b": "5", "c": "1", "d": "1"}), ours, ["path"]).collect()}
+    assert picked == {"a": "2", "b": "5", "c": "2", "e": "9"}
+    undone = {r["path"]: r["sha"] for r in trees.revert(base, ours, ours, ["path"]).collect()}
+    assert undone == {"a": "1", "b": "1", "c": "1", "d": "1"}
