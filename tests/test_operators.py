@@ -351,3 +351,13 @@ def test_merges_of_snapshots(spark):
     assert picked == {"a": "2", "b": "5", "c": "2", "e": "9"}
     undone = {r["path"]: r["sha"] for r in trees.revert(base, ours, ours, ["path"]).collect()}
     assert undone == {"a": "1", "b": "1", "c": "1", "d": "1"}
+
+
+def test_rates_of_a_stream(spark, tmp_path):
+    rows = [(f"2024-01-01 0{h}:10:00", "click") for h in (1, 1, 2, 3)] + [("2024-01-01 02:30:00", "view")]
+    df = spark.createDataFrame(rows, "ts string, event_type string").selectExpr("cast(ts as timestamp_ntz) ts", "event_type")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = ingest.rates(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"))
+    run = stream.writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert {(r["start"].hour, r["event_type"]): r["writes"] for r in spark.table("rates").collect()} == {(1, "click"): 2, (2, "click"): 1, (2, "view"): 1, (3, "click"): 1}
