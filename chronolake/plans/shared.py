@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -24,10 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared folder and cut its lineage; lost executors cost no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    shared_dir(spark)
+    done = df.checkpoint(eager=True)
+    # A checkpoint keeps the size that was estimated for what led to it, and each join multiplies
+    # sizes: in a loop they get millions of digits. A plain scan of its rows starts afresh.
+    rows = done._jdf.queryExecution().toRdd()
+    return type(done)(spark._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), spark)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the driver collect its garbage: Spark removes the shuffle and checkpoint files of what is no longer referred to, and the heap shrinks again."""
+    gc.collect()
+    spark._jvm.System.gc()
