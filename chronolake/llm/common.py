@@ -2,40 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.model import table
+from ..plans.shared import cut, release, scratch, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or an own one where it is unset (tests)."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="chronolake-")
-        atexit.register(shutil.rmtree, named, True)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder and cut its lineage; lost executors cost no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+__all__ = ["cut", "release", "scratch", "shared_dir", "table", "utf8"]
 
 
 def utf8(column: str = "text"):

@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
-    """Each node u (its larger neighbours if not small, else u and its smaller ones) is tied to the least of u's neighbourhood."""
-    both = edges if small else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+def _large(edges: DataFrame) -> DataFrame:
+    """Edges (u > v): ties the larger neighbours of each node to the least of its neighbourhood."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     # cut: the join's exchange is then one that AQE can split at a node of very many edges
-    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")))
-    met = both.join(least, both.u == least.w)
-    if small:
-        # edges point from larger to smaller here: u > v
-        tied = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
-    else:
-        tied = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return tied.where("u <> v").distinct()
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    return cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+
+
+def _small(edges: DataFrame) -> DataFrame:
+    """Edges (u > v): ties each node and its smaller neighbours to the least of these."""
+    least = cut(edges.groupBy("u").agg(F.min("v").alias("v")))
+    rest = edges.join(least.select("u", F.col("v").alias("m")), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return cut(least.unionByName(rest).distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,12 +29,13 @@ def components(edges: DataFrame) -> DataFrame:
     Rounds grow with the logarithm of the longest chain; minima are combined map-side, so a
     node of very many edges costs no more than its edges. Edges with a null end, and loops, tie nothing.
     """
+    spark = edges.sparkSession
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and u <> v").distinct())
-    before = None
     while True:
-        e = cut(_star(_star(e, False).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), True))
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        before, e = e, _small(_large(e))
+        # both are sets of pairs; in the end each node has its root alone
+        stable = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+        if stable.first() == before.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first():
             break
-        before = now
+        release(spark)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

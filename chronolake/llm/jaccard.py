@@ -1,12 +1,14 @@
 """N-gram Jaccard join: which documents share at least num/den of their word shingles.
 
 1. Documents with equal sets are one node from the start (a digest, combined map-side).
-2. Candidates without loss. Sets of similarity >= t whose smaller one has n shingles differ
-   in at most d = floor(n (1 - t) / t) elements, so of d + 1 parts (by hash) at least one is
-   equal in both. Sizes fall into classes of ratio t; a document writes the hash of each part
-   for its own class and for the one below. A task writes each part hash once per block of
-   its rows and ties further holders to the first, so no hash is hot in the shuffle. Nodes
-   with an equal part are tied: the candidate clusters are the components.
+2. Candidates without loss. In the order of their hashes, two sets of similarity >= t share at
+   least l elements among their first n - ceil(t n) + l, for l = 1 + (1 - t) n of the smaller
+   one. First, the elements of these prefixes are counted (a task writes each element once per
+   block of its rows, so none is hot in the shuffle), and sets that share fewer than l with
+   all others together are out. Then the prefixes of the rest are put in the order of how many
+   sets hold an element, rarest first: sets that share l elements share one of the first
+   |prefix| - l + 1. By these, sets are tied to the first holder; the candidate clusters are
+   the components.
 3. In each cluster a signature tree (OR-combined token bitmaps, size ranges) is traversed
    against itself. Node pairs are pruned where sizes or the largest possible overlap exclude
    a link, or where all of both is one component already; what is left is counted exactly.
@@ -18,7 +20,8 @@ Only the texts of clustered nodes are turned into sets for step 3; sets move onc
 
 Cases: null or empty text, or no word: n_shingles 0, linked with nothing, a component of its
 own; fewer words than a shingle: the whole sequence is one; null doc_id: linked with nothing,
-null component; repeated rows: equal sets, one component; empty table: empty result; other
+null component; repeated rows: equal sets, one component; several texts under one doc_id are
+one node, whose links are those of one of the texts; empty table: empty result; other
 columns are ignored.
 """
 
@@ -29,10 +32,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, utf8
+from .common import cut, release, utf8
 from .graph import components
 
 BLOCK_TOKENS = 2_000_000
@@ -78,46 +81,8 @@ def _digest(s: np.ndarray) -> bytes:
     return blake2b(s.tobytes(), digest_size=16).digest()
 
 
-class Classes:
-    """Size classes for similarity num/den: sizes of one class, or of neighbours, may link."""
-
-    def __init__(self, num: int, den: int) -> None:
-        self.num, self.den, self.starts = num, den, [1]
-
-    def upto(self, n: int) -> np.ndarray:
-        while self.starts[-1] <= n:
-            self.starts.append(self.starts[-1] * self.den // self.num + 1)
-        return np.array(self.starts)
-
-    def parts(self, scheme: np.ndarray) -> np.ndarray:
-        """How many parts sets of classes scheme and scheme + 1 have when they are compared."""
-        starts = np.array(self.starts, np.int64)
-        return (starts[scheme + 1] - 1) * (self.den - self.num) // self.num + 1
-
-
-def part_hashes(sets: list[np.ndarray], classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all parts, the set that each belongs to)."""
-    n = np.array([len(s) for s in sets], np.int64)
-    starts = classes.upto(int(n.max(initial=1)))
-    classes.upto(int(starts[-1]))
-    own = np.searchsorted(starts, n, "right") - 1
-    tokens = np.concatenate(sets)
-    high, mixed = tokens >> np.uint64(32), _mix(tokens)
-    found, owners = [], []
-    for scheme in (own, own - 1):
-        rows = np.flatnonzero(scheme >= 0)
-        m = np.where(scheme >= 0, classes.parts(np.maximum(scheme, 0)), 0)
-        base = np.cumsum(m) - m
-        use = np.repeat(scheme >= 0, n)
-        part = (high * np.repeat(m, n).astype(np.uint64)) >> np.uint64(32)
-        sums = np.zeros(int(m.sum()), np.uint64)
-        np.add.at(sums, (np.repeat(base, n) + part.astype(np.int64))[use], mixed[use])
-        of = np.repeat(np.arange(len(sets)), m)
-        number = np.arange(len(sums)) - base[of]
-        tag = _mix(scheme[of].astype(np.uint64) * np.uint64(0x100000001B3) + number.astype(np.uint64))
-        found.append(_mix(sums ^ tag) if len(rows) else sums)
-        owners.append(of)
-    return np.concatenate(found), np.concatenate(owners)
+def prefix_size(n: int, num: int, den: int) -> int:
+    return min(n, n - -(-n * num // den) + 1 + n * (den - num) // den)
 
 
 def _blocks(batches: Iterable[pa.RecordBatch], shingler: Shingler) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -150,11 +115,10 @@ def _sizes(docs: DataFrame, words: int) -> DataFrame:
     return _source(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary")
 
 
-def _ties(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(part, doc_id, other): holders of part hashes; where other is not null, a tie that a task has found itself."""
+def _holders(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(element, doc_id, found, alone): per block of a task, the first holder of each prefix element (alone: no other in the block), and for further holders how many elements they found held (element null)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = Classes(num, den)
         for ids, sets in _blocks(batches, Shingler(words)):
             first: dict[bytes, int] = {}
             for i, s in enumerate(sets):
@@ -164,22 +128,61 @@ def _ties(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 continue
             rows = list(first.values())
             doc = np.array([ids[i] for i in rows], np.int64)
-            parts, of = part_hashes([sets[i] for i in rows], classes)
-            order = np.argsort(parts, kind="stable")
-            parts, of = parts[order], of[order]
-            new = np.concatenate([[True], parts[1:] != parts[:-1]])
-            head = of[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            again = np.unique(np.stack([of[~new], head[~new]]), axis=1)
-            again = again[:, again[0] != again[1]]
-            key = np.concatenate([parts[new].view(np.int64), doc[again[0]]])
-            owner = np.concatenate([doc[of[new]], doc[again[0]]])
-            other = np.concatenate([np.zeros(int(new.sum()), np.int64), doc[again[1]]])
-            none = np.concatenate([np.ones(int(new.sum()), bool), np.zeros(again.shape[1], bool)])
+            heads = [sets[i][: prefix_size(len(sets[i]), num, den)] for i in rows]
+            element, of = np.concatenate(heads), np.repeat(np.arange(len(rows)), [len(h) for h in heads])
+            order = np.argsort(element, kind="stable")
+            element, of = element[order], of[order]
+            new = np.concatenate([[True], element[1:] != element[:-1]])
+            at = np.flatnonzero(new)
+            alone = np.diff(np.concatenate([at, [len(element)]])) == 1
+            n = np.bincount(of[~new], minlength=len(rows))
+            more = np.flatnonzero(n)
+            key = np.concatenate([element[new].view(np.int64), doc[more]])
+            owner = np.concatenate([doc[of[new]], doc[more]])
+            found = np.concatenate([np.ones(len(at), np.int32), n[more].astype(np.int32)])
+            alone = np.concatenate([alone, np.zeros(len(more), bool)])
+            none = np.concatenate([np.zeros(len(at), bool), np.ones(len(more), bool)])
             for k in range(0, len(key), 100_000):
-                cut_ = slice(k, k + 100_000)
-                yield pa.record_batch([pa.array(key[cut_]), pa.array(owner[cut_]), pa.array(other[cut_], mask=none[cut_])], ["part", "doc_id", "other"])
+                c = slice(k, k + 100_000)
+                yield pa.record_batch([pa.array(key[c], mask=none[c]), pa.array(owner[c]), pa.array(found[c]), pa.array(alone[c])], ["element", "doc_id", "found", "alone"])
 
-    return _source(docs).mapInArrow(run, "part long, doc_id long, other long")
+    return _source(docs).mapInArrow(run, "element long, doc_id long, found int, alone boolean")
+
+
+def _need(n: Column, num: int, den: int) -> Column:
+    """The least number of prefix elements that a set of n elements shares with a partner; that has ceil(t n) at least."""
+    least = F.floor((n * num + den - 1) / den)
+    return 1 + F.floor(least * (den - num) / den)
+
+
+def _able(docs: DataFrame, sizes: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(doc_id) of the documents that share enough of their prefixes with others to have a partner."""
+    rows = _holders(docs, words, num, den)
+    where = F.coalesce("element", F.xxhash64("doc_id"))  # rows without an element go anywhere
+    held = rows.repartition(where)
+    holders = F.count("element").over(Window.partitionBy(where))
+    shared = held.withColumn("holders", holders).where("element is null or not alone or holders > 1")
+    have = shared.groupBy("doc_id").agg(F.sum("found").alias("have"))
+    size = sizes.where("n_shingles > 0").groupBy("doc_id").agg(F.min("n_shingles").alias("n"))
+    return have.join(size, "doc_id").where(F.col("have") >= _need(F.col("n"), num, den)).select("doc_id")
+
+
+def _pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): ties between the nodes of sets (node, n, shingles) that may link."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, raw in zip(b.column("node").to_pylist(), b.column("shingles").to_pylist()):
+                head = np.frombuffer(raw, np.int64)[: prefix_size(len(raw) // 8, num, den)]
+                yield pa.record_batch([pa.array(head), pa.array(np.full(len(head), node)), pa.array(np.full(len(head), len(raw) // 8))], ["element", "node", "n"])
+
+    held = sets.select("node", "shingles").mapInArrow(run, "element long, node long, n long")
+    holders = cut(held.groupBy("element").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"))
+    common = held.join(holders, "element").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("holders", "element"))).alias("e"), F.first("n").alias("n"))
+    rest = F.size("e") - _need(F.col("n"), num, den) + 1
+    first = cut(common.where(rest > 0).select("node", F.explode(F.transform(F.slice("e", F.lit(1), rest.cast("int")), lambda x: x["element"])).alias("element")))
+    head = cut(first.groupBy("element").agg(F.min("node").alias("b")))
+    return first.join(head, "element").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
 class SignatureTree:
@@ -272,17 +275,16 @@ def link(sets: list[np.ndarray], num: int, den: int, settled: np.ndarray | None
     return forest.label
 
 
-def _clustered_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """nodes (node, cluster, blocks, hub) with the set of each node's text."""
+def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, shingles): the set of each node's text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for b in batches:
-            sets = [shingler(t).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.record_batch([*(b.column(c) for c in ("node", "cluster", "blocks", "hub")), pa.array(sets, pa.binary())], ["node", "cluster", "blocks", "hub", "shingles"])
+            yield pa.record_batch([b.column("node"), pa.array([shingler(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["node", "shingles"])
 
-    met = _source(docs).join(nodes, F.col("doc_id") == F.col("node")).select("node", "cluster", "blocks", "hub", "text")
-    return met.mapInArrow(run, "node long, cluster long, blocks int, hub long, shingles binary")
+    met = _source(docs).join(nodes, F.col("doc_id") == F.col("node")).select("node", "text")
+    return met.mapInArrow(run, "node long, shingles binary")
 
 
 def _linker(num: int, den: int):
@@ -354,25 +356,22 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     sizes = cut(_sizes(docs, words))
     reps = cut(sizes.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n")))
     named = cut(sizes.join(reps.select("digest", "node"), "digest", "left"))
-    held = _ties(docs, words, num, den).repartition("part")
-    least = F.min("doc_id").over(Window.partitionBy("part"))
-    ties = held.where("other is null").select("doc_id", least.alias("other")).where("doc_id <> other").unionByName(held.where("other is not null").select("doc_id", "other"))
-    ties = cut(ties.distinct())
-    of = named.where("node is not null").select("doc_id", "node").distinct()
-    pairs = ties.join(of.select("doc_id", F.col("node").alias("a")), "doc_id").join(of.select(F.col("doc_id").alias("other"), F.col("node").alias("b")), "other").where("a <> b").select("a", "b").distinct()
-    pairs = cut(pairs)
+    able = cut(_able(docs, sizes, words, num, den).join(named.where("node is not null").select("doc_id", "node").distinct(), "doc_id").select("node").distinct())
+    own = cut(_sets(docs, able, words))
+    pairs = cut(_pairs(own, num, den))
+    release(docs.sparkSession)
     clusters = components(pairs)
-    weight = reps.select("node", "n")
     degree = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    members = cut(clusters.join(weight, "node").join(degree, "node").select("node", F.col("root").alias("cluster"), "n", "degree"))
+    members = cut(clusters.join(reps.select("node", "n"), "node").join(degree, "node").select("node", F.col("root").alias("cluster"), "n", "degree"))
     shape = cut(members.groupBy("cluster").agg(F.ceil(F.sum("n") / cluster_shingles).cast("int").alias("blocks"), F.max(F.struct("degree", (-F.col("node")).alias("at"))).alias("top")))
     placed = cut(members.join(shape, "cluster").select("node", "cluster", "blocks", (-F.col("top.at")).alias("hub")))
-    sets = cut(_clustered_sets(docs, placed, words))
+    sets = own.join(placed, "node")
     found = _links(sets.where("blocks <= 1"), num, den, None)
     if not placed.where("blocks > 1").isEmpty():
         large = sets.where("blocks > 1")
         by_hub = cut(_hub_links(large, num, den))
         found = found.unionByName(by_hub).unionByName(_links(large, num, den, by_hub))
+    release(docs.sparkSession)
     roots = components(found).withColumnRenamed("root", "component")
     out = named.join(roots, "node", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "node", "doc_id"))
