@@ -23,7 +23,7 @@ from collections.abc import Iterable, Iterator
 from hashlib import sha256
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, utf8
@@ -194,16 +194,13 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns. docs is read twice."""
-    from pyspark.sql import Window
-
-    d = digests(docs)
-    keys = groups(d).select("keep_id", "digest")
+    """The rows of docs that stay, with all their columns. docs is read twice, and shuffled once by (doc_id, digest)."""
+    key = lambda digest: F.concat_ws("|", F.coalesce(F.col("__id").cast("string"), F.lit("null")), digest)
+    kept = groups(digests(docs)).select(F.col("keep_id").alias("__id"), F.lower(F.hex("digest")).alias("__digest")).select(key(F.col("__digest")).alias("__key"))
     # A-Z alone are lowered, as in the digests
     own = F.sha2(F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)
-    keys = keys.select(F.col("keep_id").alias("__id"), F.lower(F.hex("digest")).alias("__digest"))
-    hit = docs.withColumn("__own", own).join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest")))
-    first = F.row_number().over(Window.partitionBy("__id", "__digest").orderBy("__id"))
+    hit = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__key", key(own)).join(kept, "__key")
+    first = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
     return hit.withColumn("__n", first).where("__n = 1").select(*[docs[c] for c in docs.columns])
 
 
