@@ -142,7 +142,8 @@ def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) ->
     store.create_dir(root, recursive=True)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", utf8("html").alias("payload")).withColumn("digest", F.unhex(F.sha1("payload")))
     alike = F.octet_length("payload") >= least_bytes
-    first = rows.where(alike).groupBy("digest").agg(F.min("page_id").alias("first_id"))
+    # cut: the join's exchange is then one that AQE can split at a payload of very many pages
+    first = cut(rows.where(alike).groupBy("digest").agg(F.min("page_id").alias("first_id")))
     marked = rows.join(first, "digest", "left").select("page_id", "url", "payload", F.when(alike, F.col("first_id")).alias("first_id"))
     return cut(marked.mapInArrow(_writer(folder), _CAPTURE_DDL))
 
