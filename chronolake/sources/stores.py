@@ -18,6 +18,8 @@ from ..functions import codec
 from ..functions import columns as C
 from ..functions.udfs import inflate
 
+#: Bytes of content after which a task begins its next pack or segment.
+ROLL_BYTES = 64 << 20
 OBJECTS = "sha string, type string, size long, content binary"
 _OBJECTS = pa.schema([("sha", pa.string()), ("type", pa.string()), ("size", pa.int64()), ("content", pa.binary())])
 
@@ -128,12 +130,26 @@ def stage(packs: DataFrame, objects: DataFrame | None = None, column: str = "con
     return new if objects is None else new.join(objects.select("sha"), "sha", "left_anti")
 
 
+def _rolled(items: Iterable, size) -> Iterator[list]:
+    """Lists of items of about ROLL_BYTES."""
+    part, total = [], 0
+    for x in items:
+        part.append(x)
+        total += size(x)
+        if total >= ROLL_BYTES:
+            yield part
+            part, total = [], 0
+    if part:
+        yield part
+
+
 def segments(objects: DataFrame) -> DataFrame:
-    """(segment, objects) per task: pack entries of raw objects (with header)."""
+    """(segment, objects), one or more per task: pack entries of raw objects (with header)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, n = codec.segment(x for b in batches for x in b.column(0).to_pylist() if x is not None)
-        yield pa.record_batch([pa.array([data], pa.binary()), pa.array([n], pa.int64())], ["segment", "objects"])
+        for part in _rolled((x for b in batches for x in b.column(0).to_pylist() if x is not None), len):
+            data, n = codec.segment(part)
+            yield pa.record_batch([pa.array([data], pa.binary()), pa.array([n], pa.int64())], ["segment", "objects"])
 
     return objects.select("raw").mapInArrow(run, "segment binary, objects long")
 
@@ -164,8 +180,8 @@ class _Reader(DataSourceReader):
 
 
 class _Written(WriterCommitMessage):
-    def __init__(self, name: str | None, count: int) -> None:
-        self.name, self.count = name, count
+    def __init__(self, names: list[str]) -> None:
+        self.names = names
 
 
 class _Writer(DataSourceWriter):
@@ -175,21 +191,19 @@ class _Writer(DataSourceWriter):
     def write(self, iterator: Iterator) -> _Written:
         from pyspark import TaskContext
 
-        context = TaskContext.get()
-        rows = [(r["type"], bytes(r["content"])) for r in iterator]
-        if not rows:
-            return _Written(None, 0)
-        name = f"part-{context.partitionId():06d}.pack"
-        put(f"{self.path}/{name}", codec.write_pack(rows), context.taskAttemptId())
-        return _Written(name, len(rows))
+        context, names = TaskContext.get(), []
+        for rows in _rolled(((r["type"], bytes(r["content"])) for r in iterator), lambda x: len(x[1])):
+            names.append(f"part-{context.partitionId():06d}-{len(names):03d}.pack")
+            put(f"{self.path}/{names[-1]}", codec.write_pack(rows), context.taskAttemptId())
+        return _Written(names)
 
     def commit(self, messages: list) -> None:
         pass
 
     def abort(self, messages: list) -> None:
         for m in messages:
-            if m and m.name:
-                store, path = opened(f"{self.path}/{m.name}")
+            for name in m.names if m else ():
+                store, path = opened(f"{self.path}/{name}")
                 store.delete_file(path)
 
 

@@ -288,6 +288,17 @@ def test_stores(spark, tmp_path):
     assert [bytes(r["content"]) for r in stores.read_chunked(spark, f"{tmp_path}/chunks", places).collect()] == [b"hello\n"]
 
 
+def test_packs_and_segments_roll(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stores, "ROLL_BYTES", 300)
+    stores.register(spark)
+    df = spark.createDataFrame([(codec.object_id("blob", b), "blob", len(b), b) for b in (bytes([i]) * 100 for i in range(20))], stores.OBJECTS).coalesce(1)
+    df.write.format("pack").mode("append").save(f"{tmp_path}/packs")
+    assert len(list((tmp_path / "packs").glob("*.pack"))) == 7 and spark.read.format("pack").load(f"{tmp_path}/packs").count() == 20
+    raw = df.select(C.serialized(F.col("type"), F.col("content")).alias("raw"))
+    rows = stores.segments(raw).collect()
+    assert len(rows) > 1 and sum(r["objects"] for r in rows) == 20
+
+
 def test_worktree(spark, tmp_path):
     files = spark.createDataFrame([("a/b", "blob", b"x"), ("c", "tree", b""), ("d", "blob", None)], "path string, type string, content binary")
     assert stores.write_worktree(files, str(tmp_path)).agg(F.sum("written")).first()[0] == 1
