@@ -156,6 +156,13 @@ def in_scope(key: Column, repo: Column) -> Column:
     return key.isNull() | key.startswith(F.concat(repo, F.lit("/")))
 
 
+def is_json(text: Column) -> Column:
+    """A whole JSON text. The parser ignores what follows a value, so the text also has to fit into an array and an object."""
+    array = F.try_parse_json(F.concat(F.lit("["), text, F.lit(",0]")))
+    inside = F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit(',"b":0}')))
+    return F.coalesce((F.try_variant_get(array, "$[1]", "int") == 0) & inside.isNotNull(), F.lit(False))
+
+
 def metadata_error(repo_id: Column, commit_sha: Column, strings: dict[str, Column], metadata_json: Column) -> Column:
     """The message of the first rule that a metadata row breaks, or null. Limits count characters."""
     out = F.when(repo_id.isNull() | (repo_id == ""), "repo_id must be a non-empty string")
@@ -163,7 +170,7 @@ def metadata_error(repo_id: Column, commit_sha: Column, strings: dict[str, Colum
     out = out.when(commit_sha.isNull() | ~commit_sha.rlike(SHA1), "commit_sha must be 40 lowercase hex characters")
     for name, value in strings.items():
         out = out.when(F.length(value) > 512, f"{name} too long (max 512)")
-    return out.when(metadata_json.isNotNull() & F.try_parse_json(metadata_json).isNull(), "metadata_json must be valid JSON when provided as a string")
+    return out.when(metadata_json.isNotNull() & ~is_json(metadata_json), "metadata_json must be valid JSON when provided as a string")
 
 
 def prompt_error(prompt_id: Column, text: Column) -> Column:

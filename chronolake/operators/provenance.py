@@ -70,7 +70,7 @@ def recent(metadata: DataFrame, keys: list[str], created: str, n: int) -> DataFr
 
 def api_shape(metadata: DataFrame) -> DataFrame:
     """As the service answers: human_edited as a boolean, metadata_json as a variant (null if it is no JSON)."""
-    return metadata.withColumn("human_edited", F.col("human_edited").cast("boolean")).withColumn("metadata_json", F.try_parse_json("metadata_json"))
+    return metadata.withColumn("human_edited", F.col("human_edited").cast("boolean")).withColumn("metadata_json", F.when(C.is_json(F.col("metadata_json")), F.try_parse_json("metadata_json")))
 
 
 def with_provenance(blamed: DataFrame, metadata: DataFrame, keys: list[str]) -> DataFrame:

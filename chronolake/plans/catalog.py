@@ -251,10 +251,10 @@ def grep_files(spark, d):
     return found.select("path", "sha", F.size("lines").cast("long").alias("lines"), F.element_at("lines", 1)["line_number"].alias("first_line"))
 
 
-@query("F4_binary", "select doc_id, doc_id % 7 = 0 and 0 <= 8191 - strlen(substr(text, 1, 20)) is_binary from documents")
+@query("F4_binary", "select doc_id, doc_id % 7 = 0 and strlen(text) < 8192 is_binary from documents")
 def binary(spark, d):
     nul = F.when(F.col("doc_id") % 7 == 0, F.expr("unhex('00')")).otherwise(F.expr("unhex('')"))
-    b = M.table(spark, d, "documents").select("doc_id", F.concat(F.substring("text", 1, 20).cast("binary"), nul, F.col("text").cast("binary")).alias("content"))
+    b = M.table(spark, d, "documents").select("doc_id", F.concat(F.col("text").cast("binary"), nul, F.col("text").cast("binary")).alias("content"))
     return b.select("doc_id", C.is_binary(F.col("content")).alias("is_binary"))
 
 
@@ -312,16 +312,16 @@ def byte_scan(spark, d):
     return t.select("doc_id", (F.locate("e", F.col("text")) - 1).cast("long").alias("at"), (F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("e"), F.lit("")))).cast("long").alias("n"), (F.col("text") == F.reverse(F.reverse("text"))).alias("same"))
 
 
-@query("X4_hex", "select doc_id, lower(hex(encode(substr(text, 1, 40)))) h, substr(text, 1, 40) back from documents")
+@query("X4_hex", "select doc_id, lower(hex(encode(text))) h, text back from documents")
 def hexed(spark, d):
-    t = M.table(spark, d, "documents").select("doc_id", F.lower(F.hex(F.substring("text", 1, 40).cast("binary"))).alias("h"))
+    t = M.table(spark, d, "documents").select("doc_id", F.lower(F.hex(F.col("text").cast("binary"))).alias("h"))
     return t.select("doc_id", "h", C.text_of(F.unhex("h")).alias("back"))
 
 
-@query("X19_json", "select event_id, json_extract(props, '$.k')::bigint k, json_valid(substr(props, 1, 5 + (event_id % 8)::int)) valid from events")
+@query("X19_json", "select event_id, json_extract(props, '$.k')::bigint k, json_valid(case when event_id % 3 = 0 then props || ']' else props end) valid from events")
 def json_values(spark, d):
     e = M.table(spark, d, "events")
-    return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.try_parse_json(F.substr("props", F.lit(1), (5 + F.col("event_id") % 8).cast("int"))).isNotNull().alias("valid"))
+    return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), C.is_json(F.when(F.col("event_id") % 3 == 0, F.concat("props", F.lit("]"))).otherwise(F.col("props"))).alias("valid"))
 
 
 # --- addresses and keys ----------------------------------------------------------------------
@@ -528,13 +528,13 @@ def commit_change(spark, d):
     return made.select("ref", "old_sha", "new_sha")
 
 
-@query("L4_tree_sort", "select doc_id, name, row_number() over (order by case when dir then name || '/' else name end, doc_id) as pos from (select doc_id, substr(sha1(text), 1, 3) || case when doc_id % 3 = 0 then '.x' else '' end as name, doc_id % 2 = 0 dir from documents where doc_id % 20 = 0)")
+@query("L4_tree_sort", "select doc_id, name, row_number() over (partition by lang, source order by case when dir then name || '/' else name end, doc_id) as pos from (select doc_id, lang, source, substr(sha1(text), 1, 2) || case when doc_id % 3 = 0 then '.x' else '' end as name, doc_id % 2 = 0 dir from documents)")
 def tree_sort(spark, d):
     from pyspark.sql import Window
 
     i = F.col("doc_id")
-    t = M.table(spark, d, "documents").where(i % 20 == 0).select("doc_id", F.concat(F.substring(F.sha1("text"), 1, 3), F.when(i % 3 == 0, ".x").otherwise("")).alias("name"), F.when(i % 2 == 0, "40000").otherwise("100644").alias("mode"))
-    return t.select("doc_id", "name", F.row_number().over(Window.orderBy(C.tree_key(F.col("mode"), F.col("name")), "doc_id")).cast("long").alias("pos"))
+    t = M.table(spark, d, "documents").select("doc_id", "lang", "source", F.concat(F.substring(F.sha1("text"), 1, 2), F.when(i % 3 == 0, ".x").otherwise("")).alias("name"), F.when(i % 2 == 0, "40000").otherwise("100644").alias("mode"))
+    return t.select("doc_id", "name", F.row_number().over(Window.partitionBy("lang", "source").orderBy(C.tree_key(F.col("mode"), F.col("name")), "doc_id")).cast("long").alias("pos"))
 
 
 @query("P9_entry_change", "select n_nationkey::bigint n_nationkey, len(list_filter(range(4), lambda i: i <> n_nationkey % 4))::bigint removed, 4::bigint replaced from nation")
@@ -696,9 +696,9 @@ def get_commit(spark, d):
     return M.turn_commits(spark, d).where(F.col("sha") == F.sha1(F.lit("3/1"))).select(F.col("repo").alias("conv_id"), "turn", "author", "message")
 
 
-@query("R14_read_file", f"select source || '/' || lang || '/' || doc_id || '.txt' path, false is_binary, text as content from documents where doc_id % 100 = 7")
+@query("R14_read_file", f"select source || '/' || lang || '/' || doc_id || '.txt' path, false is_binary, text as content from documents")
 def read_file(spark, d):
-    b = M.blobs(spark, d).where("doc_id % 100 = 7")
+    b = M.blobs(spark, d)
     binary_ = C.is_binary(F.col("content"))
     return b.select("path", binary_.alias("is_binary"), F.when(binary_, F.base64("content")).otherwise(C.text_of(F.col("content"))).alias("content"))
 
@@ -764,11 +764,10 @@ def segments(spark, d):
     return stores.segments(raw).agg(F.sum("objects").alias("objects"))
 
 
-@query("S1_loose_roundtrip", f"select distinct {BLOB_SHA} sha, 'blob' as type, strlen(text)::bigint size from documents where doc_id < 200")
+@query("S1_loose_roundtrip", f"select distinct {BLOB_SHA} sha, 'blob' as type, strlen(text)::bigint size from documents")
 def loose_roundtrip(spark, d):
-    """A file per object: two hundred of them show it."""
     path = scratch(spark, "objects")
-    b = M.blobs(spark, d).where("doc_id < 200").select("sha", F.lit("blob").alias("type"), "content").dropDuplicates(["sha"])
+    b = M.blobs(spark, d).select("sha", F.lit("blob").alias("type"), "content").dropDuplicates(["sha"])
     stores.write_loose(b, path).agg(F.sum("written")).first()
     return stores.read_loose(spark, f"{path}/loose").select("sha", "type", "size")
 

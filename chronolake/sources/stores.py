@@ -233,6 +233,6 @@ def register(spark: SparkSession) -> None:
 
 def read_hooks(spark: SparkSession, path: str) -> DataFrame:
     """(repo_id, commit_sha, payload) of hook records, one JSON object a line; broken lines leave nothing."""
-    lines = spark.read.text(path).where(F.try_parse_json("value").isNotNull())
+    lines = spark.read.text(path).where(C.is_json(F.col("value")))
     get = lambda k: F.get_json_object("value", f"$.{k}")
     return lines.select(get("repo_id").alias("repo_id"), get("commit_sha").alias("commit_sha"), F.col("value").alias("payload"))

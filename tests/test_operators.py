@@ -237,6 +237,13 @@ def test_urls(spark):
     assert {r["u"]: r["n"] for r in rows.select("u", C.normalize_repo_url(F.col("u")).alias("n")).collect()} == URLS
 
 
+def test_json_texts(spark):
+    good = ["{}", "1", '"x"', " [1, 2] ", "null", '{"a": [{"b": "]"}]}', '"]"']
+    bad = ["", " ", "{", "{}]", "1,2", "1,0", '1,"c":2', "1,0]", "1],[0", "{} {}", '{"a":1}}', "x", '1,"b":0']
+    rows = spark.createDataFrame([(x,) for x in good + bad], "x string").select(C.is_json(F.col("x"))).collect()
+    assert [r[0] for r in rows] == [True] * len(good) + [False] * len(bad)
+
+
 META = "repo_id string, commit_sha string, agent string, human_edited int, metadata_json string, seq int"
 
 
