@@ -5,10 +5,10 @@
    least l elements among their first n - ceil(t n) + l, for l = 1 + (1 - t) n of the smaller
    one. First, the elements of these prefixes are counted (a task writes each element once per
    block of its rows, so none is hot in the shuffle), and sets that share fewer than l with
-   all others together are out. Then the prefixes of the rest are put in the order of how many
-   sets hold an element, rarest first: sets that share l elements share one of the first
-   |prefix| - l + 1. By these, sets are tied to the first holder; the candidate clusters are
-   the components.
+   all others together are out. Then the whole sets of the rest are put in the order of how many
+   of them hold an element, rarest first: sets that may link share one of their first
+   n - ceil(t n) + 1 elements. By these, sets are tied to the first holder; the candidate
+   clusters are the components.
 3. In each cluster a signature tree (OR-combined token bitmaps, size ranges) is traversed
    against itself. Node pairs are pruned where sizes or the largest possible overlap exclude
    a link, or where all of both is one component already; what is left is counted exactly.
@@ -168,18 +168,32 @@ def _able(docs: DataFrame, sizes: DataFrame, words: int, num: int, den: int) ->
 
 
 def _pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): ties between the nodes of sets (node, n, shingles) that may link."""
+    """(a, b): ties between the nodes of sets (node, shingles) that may link: those that share one of their rarest n - ceil(t n) + 1 elements."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, nodes, size = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            n = np.array([len(h) for h in held])
+            return pa.record_batch([pa.array(np.concatenate(held)), pa.array(np.repeat(np.array(nodes, np.int64), n)), pa.array(np.repeat(n, n).astype(np.int32))], ["element", "node", "n"])
+
         for b in batches:
             for node, raw in zip(b.column("node").to_pylist(), b.column("shingles").to_pylist()):
-                head = np.frombuffer(raw, np.int64)[: prefix_size(len(raw) // 8, num, den)]
-                yield pa.record_batch([pa.array(head), pa.array(np.full(len(head), node)), pa.array(np.full(len(head), len(raw) // 8))], ["element", "node", "n"])
-
-    held = sets.select("node", "shingles").mapInArrow(run, "element long, node long, n long")
-    holders = cut(held.groupBy("element").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"))
+                held.append(np.frombuffer(raw, np.int64))
+                nodes.append(node)
+                size += len(held[-1])
+                if size >= 50_000:
+                    yield out()
+                    held, nodes, size = [], [], 0
+        if held:
+            yield out()
+
+    held = sets.select("node", "shingles").mapInArrow(run, "element long, node long, n int")
+    holders = cut(held.groupBy("element").agg(F.count(F.lit(1)).cast("int").alias("holders")).where("holders > 1"))
     common = held.join(holders, "element").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("holders", "element"))).alias("e"), F.first("n").alias("n"))
-    rest = F.size("e") - _need(F.col("n"), num, den) + 1
+    # elements that no other set holds come first in the order, and tie nothing
+    n = F.col("n").cast("long")
+    rest = n - F.floor((n * num + den - 1) / den) + 1 - (n - F.size("e"))
     first = cut(common.where(rest > 0).select("node", F.explode(F.transform(F.slice("e", F.lit(1), rest.cast("int")), lambda x: x["element"])).alias("element")))
     head = cut(first.groupBy("element").agg(F.min("node").alias("b")))
     return first.join(head, "element").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
@@ -357,7 +371,9 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     reps = cut(sizes.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n")))
     named = cut(sizes.join(reps.select("digest", "node"), "digest", "left"))
     able = cut(_able(docs, sizes, words, num, den).join(named.where("node is not null").select("doc_id", "node").distinct(), "doc_id").select("node").distinct())
+    release(docs.sparkSession)
     own = cut(_sets(docs, able, words))
+    release(docs.sparkSession)
     pairs = cut(_pairs(own, num, den))
     release(docs.sparkSession)
     clusters = components(pairs)
