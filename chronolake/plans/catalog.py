@@ -810,7 +810,7 @@ def refs_v2(spark, d):
     return wire.refs(_framed(o, "o_custkey", "o_orderkey", line), "o_custkey", "data", 2)
 
 
-@query("S18_demux", "select conv_id, string_agg(text, '' order by turn) filter (where role = 'assistant') pack, string_agg(text, '' order by turn) filter (where role = 'user') progress, coalesce(string_agg(text, '' order by turn) filter (where role = 'system'), '') errors from conversations group by 1")
+@query("S18_demux", "select conv_id, coalesce(string_agg(text, '' order by turn) filter (where role = 'assistant'), '') pack, coalesce(string_agg(text, '' order by turn) filter (where role = 'user'), '') progress, coalesce(string_agg(text, '' order by turn) filter (where role = 'system'), '') errors from conversations group by 1")
 def demux(spark, d):
     c = M.table(spark, d, "conversations")
     channel = F.when(F.col("role") == "assistant", "\x01").when(F.col("role") == "user", "\x02").otherwise("\x03")
