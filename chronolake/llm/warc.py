@@ -144,7 +144,7 @@ def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) ->
     alike = F.octet_length("payload") >= least_bytes
     # cut: the join's exchange is then one that AQE can split at a payload of very many pages
     first = cut(rows.where(alike).groupBy("digest").agg(F.min("page_id").alias("first_id")))
-    marked = rows.join(first, "digest", "left").select("page_id", "url", "payload", F.when(alike, F.col("first_id")).alias("first_id"))
+    marked = rows.join(first.hint("merge"), "digest", "left").select("page_id", "url", "payload", F.when(alike, F.col("first_id")).alias("first_id"))
     return cut(marked.mapInArrow(_writer(folder), _CAPTURE_DDL))
 
 
@@ -272,4 +272,5 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Writes pages, merges the index, and reads back the record of each indexed capture."""
     captures = write(pages, least_bytes=least_bytes)
     index = histories(captures).select("url_key", "time", "archive", "offset")
-    return index.join(read(captures), ["archive", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "time")
+    # both sides grow with the pages: never a broadcast
+    return index.hint("merge").join(read(captures), ["archive", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "time")
