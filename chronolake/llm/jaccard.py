@@ -1,6 +1,7 @@
 """N-gram Jaccard join: which documents share at least num/den of their word shingles.
 
-1. Documents with equal sets are one node from the start (a digest, combined map-side).
+1. Rows with equal sets are one node from the start (a digest, combined map-side); the node's
+   key is a number of its own, and the text that stands for it that of its least (doc_id, hash).
 2. Candidates without loss. In the order of their hashes, two sets of similarity >= t share at
    least l elements among their first n - ceil(t n) + l, for l = 1 + (1 - t) n of the smaller
    one. First, the elements of these prefixes are counted (a task writes each element once per
@@ -21,8 +22,8 @@ Only the texts of clustered nodes are turned into sets for step 3; sets move onc
 Cases: null or empty text, or no word: n_shingles 0, linked with nothing, a component of its
 own; fewer words than a shingle: the whole sequence is one; null doc_id: linked with nothing,
 null component; repeated rows: equal sets, one component; several texts under one doc_id are
-one node, whose links are those of one of the texts; empty table: empty result; other
-columns are ignored.
+linked each by itself, so that their rows may have different components; empty table: empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -85,41 +86,47 @@ def prefix_size(n: int, num: int, den: int) -> int:
     return min(n, n - -(-n * num // den) + 1 + n * (den - num) // den)
 
 
-def _blocks(batches: Iterable[pa.RecordBatch], shingler: Shingler) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """(doc_ids, sets) of about BLOCK_TOKENS shingles."""
-    ids, sets, size = [], [], 0
+def _blocks(batches: Iterable[pa.RecordBatch], shingler: Shingler) -> Iterator[tuple[list, list, list[np.ndarray]]]:
+    """(doc_ids, hashes of texts, sets) of about BLOCK_TOKENS shingles."""
+    ids, hashes, sets, size = [], [], [], 0
     for b in batches:
-        for i, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text"))):
+        for i, text, h in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "h"))):
             s = shingler(text)
             ids.append(i)
+            hashes.append(h)
             sets.append(s)
             size += len(s)
             if size >= BLOCK_TOKENS:
-                yield ids, sets
-                ids, sets, size = [], [], 0
+                yield ids, hashes, sets
+                ids, hashes, sets, size = [], [], [], 0
     if ids:
-        yield ids, sets
+        yield ids, hashes, sets
 
 
 def _source(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"), text_hash().alias("h"))
+
+
+def text_hash() -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64(utf8())
 
 
 def _sizes(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, digest)."""
+    """(doc_id, h, n_shingles, digest)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _blocks(batches, Shingler(words)):
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary())], ["doc_id", "n_shingles", "digest"])
+        for ids, hashes, sets in _blocks(batches, Shingler(words)):
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary())], ["doc_id", "h", "n_shingles", "digest"])
 
-    return _source(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary")
+    return _source(docs).mapInArrow(run, "doc_id long, h long, n_shingles long, digest binary")
 
 
 def _holders(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """(element, doc_id, found, alone): per block of a task, the first holder of each prefix element (alone: no other in the block), and for further holders how many elements they found held (element null)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _blocks(batches, Shingler(words)):
+        for ids, _, sets in _blocks(batches, Shingler(words)):
             first: dict[bytes, int] = {}
             for i, s in enumerate(sets):
                 if len(s) and ids[i] is not None:
@@ -156,7 +163,11 @@ def _need(n: Column, num: int, den: int) -> Column:
 
 
 def _able(docs: DataFrame, sizes: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(doc_id) of the documents that share enough of their prefixes with others to have a partner."""
+    """(doc_id) of the documents that share enough of their prefixes with others to have a partner.
+
+    The texts of one doc_id count as one here, with what all share and what the smallest needs:
+    none that may link is lost.
+    """
     rows = _holders(docs, words, num, den)
     where = F.coalesce("element", F.xxhash64("doc_id"))  # rows without an element go anywhere
     held = rows.repartition(where)
@@ -290,15 +301,21 @@ def link(sets: list[np.ndarray], num: int, den: int, settled: np.ndarray | None
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, shingles): the set of each node's text."""
+    """(node, shingles), one row per row of nodes (node, digest, lead): the set of the text that stands for the node."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for b in batches:
-            yield pa.record_batch([b.column("node"), pa.array([shingler(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["node", "shingles"])
+            sets = [(node, s) for node, digest, text in zip(*(c.to_pylist() for c in b.columns)) if _digest(s := shingler(text)) == digest]
+            yield pa.record_batch([pa.array([n for n, _ in sets], pa.int64()), pa.array([s.tobytes() for _, s in sets], pa.binary())], ["node", "shingles"])
+
+    def read(some: DataFrame) -> DataFrame:
+        some = some.select("node", "digest", F.col("lead.doc_id").alias("doc_id"), F.col("lead.h").alias("h"))
+        return _source(docs).join(some, ["doc_id", "h"]).select("node", "digest", "text").mapInArrow(run, "node long, shingles binary")
 
-    met = _source(docs).join(nodes, F.col("doc_id") == F.col("node")).select("node", "text")
-    return met.mapInArrow(run, "node long, shingles binary")
+    once = read(nodes.where("lead.copies = 1"))
+    repeated = nodes.where("lead.copies > 1")
+    return once if repeated.isEmpty() else once.unionByName(read(repeated).groupBy("node").agg(F.first("shingles").alias("shingles")))
 
 
 def _linker(num: int, den: int):
@@ -317,10 +334,9 @@ def _linker(num: int, den: int):
                     yield flush()
                     nodes, raw, settled = [], [], []
                 task = t
-                if not nodes or nodes[-1] != node:  # a doc_id with several rows is one node
-                    nodes.append(node)
-                    raw.append(s)
-                    settled.append(done)
+                nodes.append(node)
+                raw.append(s)
+                settled.append(done)
         if nodes:
             yield flush()
 
@@ -361,16 +377,24 @@ def _hub_links(sets: DataFrame, num: int, den: int) -> DataFrame:
                     to.append(hub)
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(to, pa.int64())], ["a", "b"])
 
-    hubs = sets.where("node = hub").dropDuplicates(["node"]).select(F.col("node").alias("hub"), F.col("shingles").alias("other"))
+    hubs = sets.where("node = hub").select(F.col("node").alias("hub"), F.col("shingles").alias("other"))
     return sets.where("node <> hub").join(hubs, "hub").select("node", "hub", "shingles", "other").mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, cluster_shingles: int = CLUSTER_SHINGLES) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id."""
+def _nodes(sizes: DataFrame) -> DataFrame:
+    """(digest, n, lead, node) of each distinct set; lead: the least (doc_id, h) of its texts, and how many rows have that one."""
+    texts = sizes.where("digest is not null and doc_id is not null").groupBy("digest", "doc_id", "h").agg(F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n"))
+    found = texts.groupBy("digest").agg(F.max("n").alias("n"), F.min(F.struct("doc_id", "h", "copies")).alias("lead"))
+    return cut(found.withColumn("node", F.monotonically_increasing_id()))
+
+
+def _clustered(docs: DataFrame, words: int, num: int, den: int, cluster_shingles: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(named rows, nodes, placed nodes, their sets): what a traversal of the candidate clusters needs."""
     sizes = cut(_sizes(docs, words))
-    reps = cut(sizes.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n")))
-    named = cut(sizes.join(reps.select("digest", "node"), "digest", "left"))
-    able = cut(_able(docs, sizes, words, num, den).join(named.where("node is not null").select("doc_id", "node").distinct(), "doc_id").select("node").distinct())
+    reps = _nodes(sizes)
+    named = cut(sizes.join(reps.select("digest", "node", "lead"), "digest", "left").drop("digest"))
+    able = _able(docs, sizes, words, num, den).join(named.where("node is not null").select("doc_id", "node").distinct(), "doc_id").select("node").distinct()
+    able = cut(able.join(reps, "node").select("node", "digest", "lead"))
     release(docs.sparkSession)
     own = cut(_sets(docs, able, words))
     release(docs.sparkSession)
@@ -381,14 +405,27 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     members = cut(clusters.join(reps.select("node", "n"), "node").join(degree, "node").select("node", F.col("root").alias("cluster"), "n", "degree"))
     shape = cut(members.groupBy("cluster").agg(F.ceil(F.sum("n") / cluster_shingles).cast("int").alias("blocks"), F.max(F.struct("degree", (-F.col("node")).alias("at"))).alias("top")))
     placed = cut(members.join(shape, "cluster").select("node", "cluster", "blocks", (-F.col("top.at")).alias("hub")))
-    sets = own.join(placed, "node")
+    return named, reps, placed, own.join(placed, "node")
+
+
+def jaccard_rows(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, cluster_shingles: int = CLUSTER_SHINGLES) -> DataFrame:
+    """jaccard_components with h (text_hash) and stays: false for a text that is not the least (doc_id, h) of its component."""
+    named, reps, placed, sets = _clustered(docs, words, num, den, cluster_shingles)
     found = _links(sets.where("blocks <= 1"), num, den, None)
     if not placed.where("blocks > 1").isEmpty():
         large = sets.where("blocks > 1")
         by_hub = cut(_hub_links(large, num, den))
         found = found.unionByName(by_hub).unionByName(_links(large, num, den, by_hub))
     release(docs.sparkSession)
-    roots = components(found).withColumnRenamed("root", "component")
-    out = named.join(roots, "node", "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "node", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"))
+    roots = components(found).join(reps.select("node", F.struct("lead.doc_id", "lead.h").alias("own")), "node")
+    first = cut(roots.groupBy("root").agg(F.min("own").alias("first")))
+    out = named.join(roots.join(first, "root").select("node", "first"), "node", "left")
+    first = F.coalesce("first", F.when(F.col("lead").isNotNull(), F.struct("lead.doc_id", "lead.h")))
+    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce(first["doc_id"], "doc_id"))
+    stays = F.col("doc_id").isNull() | F.coalesce((first["doc_id"] == F.col("doc_id")) & (first["h"] == F.col("h")), F.lit(True))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "h", stays.alias("stays"))
+
+
+def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, cluster_shingles: int = CLUSTER_SHINGLES) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id of the component)."""
+    return jaccard_rows(docs, words, num, den, cluster_shingles).select("doc_id", "n_shingles", "component_id")

@@ -5,8 +5,9 @@ mixing sources to target weights, byte-level BPE. All stages but the last return
 of documents.
 
 Cases: the operators' docstrings say what becomes of nulls, ties, repeated rows and very long
-texts. Copies of a document that mixing makes are rows of their own. In the Jaccard stage the
-smallest doc_id of a component stays; rows of null doc_id, and texts without words, stay.
+texts. Copies of a document that mixing makes are rows of their own. In the Jaccard stage one
+text of a component stays, one of its smallest doc_id; rows of null doc_id, and texts without
+words, stay.
 """
 
 from __future__ import annotations
@@ -30,10 +31,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard.jaccard_components(docs, WORDS, NUM, DEN)
-    # those that go, by doc_id; a doc_id that has several rows goes if its component has a smaller one
-    gone = cut(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    found = jaccard.jaccard_rows(docs, WORDS, NUM, DEN)
+    # the texts that go; of a doc_id that has several, each by its own component
+    gone = cut(found.where("not stays").select(F.col("doc_id").alias("__gone"), F.col("h").alias("__text")).distinct())
+    return docs.join(gone, (docs["doc_id"] == gone["__gone"]) & (jaccard.text_hash() == gone["__text"]), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

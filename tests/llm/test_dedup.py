@@ -153,6 +153,50 @@ def test_a_doc_id_of_two_texts(spark):
     assert len(got) == 2 and all(r["component_id"] == 12 for r in got)
 
 
+def brute_texts(data, k, num, den):
+    """Components of distinct sets, each text by itself, named by their smallest doc_id."""
+    sets = [(i, shingles(t, k)) for i, t, *_ in data]
+    live = list({s for i, s in sets if i is not None and s})
+    edges = [(a, b) for a, s in enumerate(live) for b, t in enumerate(live[:a]) if len(s & t) * den >= num * len(s | t)]
+    root = components([*edges, *((a, a) for a in range(len(live)))])
+    of = {s: root[a] for a, s in enumerate(live)}
+    least = {}
+    for i, s in sets:
+        if i is not None and s:
+            least[of[s]] = min(i, least.get(of[s], i))
+    return Counter((i, len(s), None if i is None else least[of[s]] if s else i) for i, s in sets)
+
+
+def shared_ids():
+    """Texts of several rows to a doc_id, beside other documents with the same sets or near ones; doc_id 12 too."""
+    r = random.Random(8)
+    extra = near_copies()
+    ids = [i for i, *_ in extra]
+    again = [(r.choice(ids), t, lang, s) for _, t, lang, s in r.sample(extra, 90)]
+    far = [" ".join(f"{name}{i}" for i in range(40)) for name in "pqr"]
+    mixed = [(5000, far[0]), (5000, far[1]), (5009, far[1]), (5010, far[1] + " end"), (5011, far[0] + " end"), (4999, far[2]), (5000, far[2] + " end"), (5000, far[0]), (5000, far[0])]
+    return [x for x in cases.rows([*extra, *again]) if x[0] != 16] + [(i, t, "en", "a") for i, t in mixed]
+
+
+@pytest.mark.parametrize("k, num, den, size", [(3, 90, 100, jaccard.CLUSTER_SHINGLES), (3, 90, 100, 900)])
+def test_texts_of_one_doc_id_are_linked_each_by_itself(spark, k, num, den, size):
+    data = shared_ids()
+    got = jaccard.jaccard_components(cases.frame(spark, data), k, num, den, size).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_texts(data, k, num, den)
+
+
+def test_one_text_of_a_component_stays(spark):
+    """A doc_id of two texts, one of which has a copy of a smaller doc_id, loses that one alone."""
+    import corpus_pipeline
+
+    far = [" ".join(f"{name}{i}" for i in range(60)) for name in "pqr"]
+    data = [(4, far[0]), (5, far[0] + " end"), (5, far[1]), (7, far[1] + " end"), (8, far[2]), (8, far[2] + " end"), (None, far[2]), (9, None)]
+    kept = corpus_pipeline.near(spark, cases.frame(spark, [(i, t, "en", "a") for i, t in data]), "").collect()
+    got = Counter((r["doc_id"], r["text"]) for r in kept)
+    either = got[8, far[2]] + got[8, far[2] + " end"]
+    assert either == 1 and Counter({k: n for k, n in got.items() if k[0] != 8}) == Counter([(4, far[0]), (5, far[1]), (None, far[2]), (9, None)])
+
+
 def test_blocks_of_a_task_do_not_matter(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 700)
     test_jaccard_components(spark, 3, 90, 100, 900)
