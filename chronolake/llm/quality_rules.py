@@ -12,8 +12,8 @@ within it. A group of any size moves as a few rows, and no text is shuffled at a
 The Cholesky factor and the distance are plain column expressions.
 
 Cases: null or empty text: no words, so base_failed; null lang or source: a group of their
-own; groups under MIN_ROWS rows are estimated with their language, and if that is small too,
-with all rows; a variance may not fall below FLOOR (constant statistics); repeated rows count
+own; groups under MIN_ROWS rows are judged by the estimate from all rows of their language, and
+if that is small too, by the one from all rows of the table; a variance may not fall below FLOOR (constant statistics); repeated rows count
 each; empty table: empty result; extra columns are ignored.
 """
 
@@ -103,14 +103,22 @@ def _vector(stats: DataFrame) -> DataFrame:
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    """Adds the group that a row is estimated with: level 0 language and source, 1 language, 2 all."""
+    """Adds grp, the group whose estimate judges a row, and fits, the groups whose estimates it is in: level 0 language and source, 1 language, 2 all.
+
+    A level's estimate is made from all of its rows, but only where a small group looks it up.
+    """
     sizes = rows.where("not base_failed").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
     sizes = rows.select("lang", "source").distinct().alias("a").join(sizes.alias("b"), F.col("a.lang").eqNullSafe(F.col("b.lang")) & F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.lang", "a.source", F.coalesce("b.n", F.lit(0)).alias("n"))
-    small = F.when(F.col("n") < MIN_ROWS, F.col("n")).otherwise(F.lit(0))
-    sizes = sizes.withColumn("pooled", F.sum(small).over(Window.partitionBy("lang")))
-    level = F.when(F.col("n") >= MIN_ROWS, 0).when(F.col("pooled") >= MIN_ROWS, 1).otherwise(2)
-    sizes = sizes.select("lang", "source", F.concat_ws("\x01", level, F.when(level < 2, F.coalesce("lang", F.lit("\x02"))), F.when(level < 1, F.coalesce("source", F.lit("\x02")))).alias("grp"))
-    return rows.alias("r").join(sizes.alias("s"), F.col("r.lang").eqNullSafe(F.col("s.lang")) & F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.*", "s.grp")
+    language = Window.partitionBy("lang")
+    sizes = sizes.withColumn("in_lang", F.sum("n").over(language)).withColumn("least", F.min("n").over(language))
+    sizes = cut(sizes.withColumn("level", F.when(F.col("n") >= MIN_ROWS, 0).when(F.col("in_lang") >= MIN_ROWS, 1).otherwise(2)))
+    whole = not sizes.where("level = 2").isEmpty()
+    name = lambda level: F.concat_ws("\x01", F.lit(level), *(F.coalesce(c, F.lit("\x02")) for c in ("lang", "source")[: 2 - level]))
+    used = (F.col("n") >= MIN_ROWS, (F.col("in_lang") >= MIN_ROWS) & (F.col("least") < MIN_ROWS), F.lit(whole))
+    fits = F.filter(F.array(*(F.when(u, name(k)) for k, u in enumerate(used))), lambda x: x.isNotNull())
+    grp = F.when(F.col("level") == 0, name(0)).when(F.col("level") == 1, name(1)).otherwise(name(2))
+    sizes = sizes.select("lang", "source", grp.alias("grp"), fits.alias("fits"))
+    return rows.alias("r").join(sizes.alias("s"), F.col("r.lang").eqNullSafe(F.col("s.lang")) & F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.*", "s.grp", "s.fits")
 
 
 def _meet(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -179,7 +187,7 @@ def _nearest(rows: DataFrame) -> DataFrame:
 def quality_rules(docs: DataFrame) -> DataFrame:
     """One row per row of docs: statistics, base_failed, kept and d2 (the method's squared distance)."""
     rows = cut(_grouped(cut(_vector(statistics(docs)))).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")))
-    fit = rows.where("not base_failed").select("grp", "salt", *X)
+    fit = rows.where("not base_failed").select(F.explode("fits").alias("grp"), "salt", *X)
     start = _start(fit)
     first = _meet(fit, start, ["grp"])
     z = [(F.col(x) - F.col(f"m{i}")) / F.col(f"s{i}") for i, x in enumerate(X)]
@@ -187,6 +195,6 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     estimate = cut(_factor(_moments(near)))
     for _ in range(STEPS):
         estimate = cut(_factor(_moments(_nearest(_distance(fit, estimate)))))
-    judged = _distance(rows, estimate)
+    judged = _distance(rows.drop("fits"), estimate)
     kept = ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= CUTOFF)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "d2")

@@ -173,6 +173,23 @@ def test_robust_distances(spark):
     assert np.allclose([x["d2"] for x in mine], want, rtol=1e-6)
 
 
+def test_small_groups_are_judged_by_their_language_or_all(spark):
+    """A few rows of a rare language or source do not make their own estimate."""
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9))) for _ in range(400)]
+    prose = lambda n, junk=0: " ".join(r.choice(words) + ("###" if r.random() < junk else "") for _ in range(n))
+    data = [(i, prose(r.randrange(40, 200)), "en", "a") for i in range(300)] + [(1000 + i, prose(r.randrange(40, 200)), "de", "b") for i in range(200)]
+    rare = [(5000, 100, 0.6, "xx", "z"), (5001, 150, 0, "xx", "z"), (5002, 100, 0.6, "en", "rare"), (5003, 60, 0, "en", "rare"), (5004, 100, 0.6, None, "n"), (5005, 90, 0, None, None)]
+    data += [(i, prose(n, junk), lang, source) for i, n, junk, lang, source in rare]
+    rows = {x["doc_id"]: x for x in quality_rules.quality_rules(cases.frame(spark, data)).collect()}
+    assert [rows[i]["kept"] for i, *_ in rare] == [False, True] * 3
+    stats = quality_rules._vector(quality_rules.statistics(cases.frame(spark, data))).where("not base_failed").toPandas().set_index("doc_id")[list(quality_rules.X)]
+    english = [i for i, _, lang, _ in data if lang == "en" and i in stats.index]
+    for among, some in ((english, (5002, 5003)), (list(stats.index), (5000, 5001, 5004, 5005))):
+        want = dict(zip(among, numpy_mcd(stats.loc[among].to_numpy())))
+        assert np.allclose([rows[i]["d2"] for i in some], [want[i] for i in some], rtol=1e-6)
+
+
 def test_quality_rules_on_odd_tables(spark):
     assert quality_rules.quality_rules(cases.empty(spark)).count() == 0
     rows = {r["doc_id"]: r for r in quality_rules.quality_rules(cases.frame(spark)).collect()}
