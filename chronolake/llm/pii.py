@@ -10,7 +10,9 @@ Separators, lengths, letter case and e-mail domains stay; check digits are compu
 Each document is handled by itself; nothing is shuffled.
 
 Cases: null text stays null and empty stays empty, with no finds; what does not validate is
-left alone; where formats overlap the first kind in KINDS wins, then the leftmost; repeated
+left alone; digits beside a phone number belong to it, and leave it alone, only where it has no
++ and the separator between is its own (988-555-2485-17), but for lists of numbers of one shape;
+labelled values without a digit are secrets after =, in quotes or in mixed case; where formats overlap the first kind in KINDS wins, then the leftmost; repeated
 rows give the same result; null doc_id is passed on; an empty table gives an empty result;
 the other columns of the input are passed on, but for its own columns of the names n_found
 and kinds, which the result's replace.
@@ -35,16 +37,23 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Patterns of the formats, in order of preference.
 KINDS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])",
-    "secret": r"(?i:(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_/+-]{12,128}(?![A-Za-z0-9_/+])|(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
+    "secret": r"(?i:(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_/+-][A-Za-z0-9_/+=.-]{10,}[A-Za-z0-9_/+=-]|(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ipv4": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9]|[./-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
-    "phone": r"(?:(?<![0-9])\+[0-9]{1,3}[ .-]?|(?<![A-Za-z0-9])(?<![0-9][ .-]))(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9]|[ .-][0-9])|(?<![0-9])\+[0-9]{10,14}(?![0-9])",
+    "phone": r"(?:(?<![0-9])\+[0-9]{1,3}[ .-]?|(?<![A-Za-z0-9]))(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9])\+[0-9]{10,14}(?![0-9])",
 }
 
 
+LABEL = re.compile(r"(?i:[a-z_-]+)\s{0,3}[=:]\s{0,3}[\"']?")
+#: Characters of a secret that are permuted together; the next ones depend on all before.
+PIECE = 128
+#: How far the numbers beside a phone number are looked at.
+RUN = 1000
+
+
 class Feistel:
     """A keyed permutation of the mixed-radix numbers with given radices."""
 
@@ -195,6 +204,27 @@ def _phone(f: Feistel, x: str, back: bool) -> str | None:
     return _refill(x, digits[:skip] + new)
 
 
+def _phone_stands(text: str, start: int, end: int) -> bool:
+    """Whether what is found as a phone number is no part of a longer number."""
+    x = text[start:end]
+    if x[0] == "+":
+        return True
+    before, after = re.search(r"[0-9][ .-]$", text[max(0, start - 2) : start]), re.match(r"[ .-][0-9]", text[end : end + 2])
+    if not before and not after:
+        return True
+    seps = re.findall("[ .-]", x)
+    longer = seps and (before and x[0] != "(" and before.group()[1] == seps[0] or after and after.group()[0] == seps[-1])
+    if not longer:
+        return True
+    if set(seps) != {" "}:
+        return False
+    # numbers of one shape in a row, each of groups parted by spaces
+    left, right = re.search(r"[0-9 ]*$", text[max(0, start - RUN) : start]), re.match(r"[0-9 ]*", text[end : end + RUN])
+    shape = [len(g) for g in x.split(" ")]
+    sides = [[len(g) for g in side.group().split()] for side in (left, right)]
+    return len(set(shape)) > 1 and all(len(side) % len(shape) == 0 and side == shape * (len(side) // len(shape)) for side in sides)
+
+
 def _email(f: Feistel, x: str, back: bool) -> str | None:
     local, _, domain = x.rpartition("@")
     return f"{_alnum(f, local, b'email' + domain.lower().encode(), back)}@{domain}"
@@ -203,14 +233,21 @@ def _email(f: Feistel, x: str, back: bool) -> str | None:
 def _secret(f: Feistel, x: str, back: bool) -> str | None:
     if x[:4] in ("AKIA", "ASIA"):  # access keys say what they are
         return x[:4] + _alnum(f, x[4:], b"access key" + x[:4].encode(), back)
-    at = re.search(r"[A-Za-z0-9_/+-]+$", x).start()
-    value = x[at:]
-    if not any(c.isdigit() for c in value):
+    at = LABEL.match(x).end()
+    value, label = x[at:], x[:at]
+    if not any(c.isdigit() for c in value) and "=" not in label and label[-1] not in "\"'" and not re.search("[a-z][A-Z]", value):
         return None  # a word, not a secret
-    if re.fullmatch("[0-9a-f]+", value):
-        new = f.permute([int(c, 16) for c in value], [16] * len(value), b"hex", back)
-        return x[:at] + "".join(f"{d:x}" for d in new)
-    return x[:at] + _alnum(f, value, b"secret", back)
+    hexadecimal = re.fullmatch("[0-9a-f]+", value) is not None
+    before, out = blake2b(), []
+    for k in range(0, len(value), PIECE):
+        piece, tweak = value[k : k + PIECE], before.digest() if k else b""
+        if hexadecimal:
+            new = "".join(f"{d:x}" for d in f.permute([int(c, 16) for c in piece], [16] * len(piece), b"hex" + tweak, back))
+        else:
+            new = _alnum(f, piece, b"secret" + tweak, back)
+        before.update((new if back else piece).encode())
+        out.append(new)
+    return label + "".join(out)
 
 
 _MAKERS = {"email": _email, "secret": _secret, "iban": _iban, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
@@ -220,7 +257,7 @@ class Pseudonyms:
     def __init__(self, key: bytes) -> None:
         self.f = Feistel(key)
         self.patterns = {k: re.compile(p) for k, p in KINDS.items()}
-        self.digit = re.compile("[0-9]|AKIA|ASIA")
+        self.digit = re.compile("[0-9]|AKIA|ASIA|(?i:passw|pwd|secret|token|key)")
 
     def replace(self, text: str, back: bool = False) -> tuple[str, dict[str, int]]:
         """(text with pseudonyms, finds by kind). back: from pseudonyms to what they stand for."""
@@ -230,10 +267,14 @@ class Pseudonyms:
         for kind, pattern in self.patterns.items():
             if kind == "email" and "@" not in text:
                 continue
-            for m in pattern.finditer(text):
+            at = 0
+            while m := pattern.search(text, at):
                 new = _MAKERS[kind](self.f, m.group(), back)
-                if new is not None:
+                if new is not None and (kind != "phone" or _phone_stands(text, *m.span())):
                     taken.append((m.start(), m.end(), new, kind))
+                    at = m.end()
+                else:  # a phone number may begin inside of what is none
+                    at = m.start() + 1 if kind == "phone" else m.end()
         if not taken:
             return text, {}
         free = bytearray(len(text))

@@ -39,6 +39,28 @@ def test_private_data_go_and_come_back(kind, text):
     assert pii.Pseudonyms(b"other").replace(text)[0] != p.replace(text)[0]
 
 
+LONG = "".join(random.Random(5).choice("abcXYZ019") for _ in range(300))
+JWT = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N"
+BESIDE = [
+    ("call +1 (988) 555-2485 24h", ["555-2485"], "phone"), ("room 5 555-123-4567", ["555-123-4567"], "phone"), ("room 25 555-123-4567 now", ["555-123-4567"], "phone"), ("988-555-2485 988-555-0000", ["988-555-2485", "988-555-0000"], "phone"),
+    ("988 555 2485 977 555 0000 966 555 1111", ["988 555 2485", "977 555 0000", "966 555 1111"], "phone"), ("(988) 555-2485 24h", ["555-2485"], "phone"), (f"token={LONG} x", [LONG[:128], LONG[128:256], LONG[256:]], "secret"), (f"token: {JWT}.", JWT.split("."), "secret"),
+    ("api_key = 'c2VjcmV0IHZhbHVl0aA==' x", ["c2VjcmV0IHZhbHVl0aA"], "secret"), ("password=correcthorsebattery", ["correcthorsebattery"], "secret"), ("token=" + "0a1b" * 75, ["0a1b" * 75], "secret"),
+]
+
+
+@pytest.mark.parametrize("text, parts, kind", BESIDE)
+def test_neighbours_and_length_hide_nothing(text, parts, kind):
+    p = pii.Pseudonyms(b"key")
+    new, found = p.replace(text)
+    assert set(found) == {kind} and found[kind] == (len(parts) if kind == "phone" else 1)
+    assert not any(x in new for x in parts) and len(new) == len(text) and p.replace(new, back=True) == (text, found)
+
+
+@pytest.mark.parametrize("text", ["988-555-2485-17", "4041 8949 7460 8796", "10 988 555 2485", "secret: internationalisation"])
+def test_longer_numbers_and_words_stay(text):
+    assert pii.Pseudonyms(b"key").replace(text) == (text, {})
+
+
 @pytest.mark.parametrize("text", PLAIN)
 def test_other_text_stays(text):
     assert pii.Pseudonyms(b"key").replace(text) == (text, {})
