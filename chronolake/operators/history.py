@@ -1,8 +1,8 @@
 """Walks over commit graphs and per-line blame, for all repositories at once.
 
 Walks work on parents (repo, sha, ord, parent). Repositories of ordinary size are handed to
-one task each, sorted, and walked in memory there; those of more than `large` edges are
-walked level by level with joins, so no graph has to fit in a task.
+one task each, sorted, and walked in memory there; in log_walk, those of more than `large`
+edges are walked level by level with joins. A max_depth of None is no limit.
 """
 
 from __future__ import annotations
@@ -57,11 +57,11 @@ def _walked(graph: DataFrame, rows: DataFrame, kernel: Callable, schema: str, na
     return both.repartition("repo").sortWithinPartitions("repo", "kind").mapInArrow(run, schema)
 
 
-def _log_kernel(max_depth: int) -> Callable:
+def _log_kernel(max_depth: int | None) -> Callable:
     def kernel(parents: dict[str, list[str]], seeds: list[tuple]) -> Iterator[tuple]:
         frontier = list(dict.fromkeys(s for s, _, _ in sorted(seeds, key=lambda x: x[1])))
         seen, depth = set(frontier), 0
-        while frontier and depth <= max_depth:
+        while frontier and (max_depth is None or depth <= max_depth):
             known = [s for s in frontier if s in parents]
             yield from ((s, depth, i) for i, s in enumerate(known))
             nxt = []
@@ -75,7 +75,7 @@ def _log_kernel(max_depth: int) -> Callable:
     return kernel
 
 
-def log_walk(parents: DataFrame, seeds: DataFrame, max_depth: int = 1000, large: int = LARGE) -> DataFrame:
+def log_walk(parents: DataFrame, seeds: DataFrame, max_depth: int | None = 1000, large: int = LARGE) -> DataFrame:
     """(repo, sha, depth, pos): every commit that seeds (repo, sha, ord) reach, at its least distance, in the order of discovery.
 
     parents has a row per parent, and one with a null parent for a root. Seeds are taken once
@@ -93,14 +93,14 @@ def log_walk(parents: DataFrame, seeds: DataFrame, max_depth: int = 1000, large:
     return out
 
 
-def log_levels(parents: DataFrame, seeds: DataFrame, max_depth: int = 1000) -> DataFrame:
+def log_levels(parents: DataFrame, seeds: DataFrame, max_depth: int | None = 1000) -> DataFrame:
     """log_walk level by level: a join per level, visited commits taken out by anti-joins."""
     known = parents.select("repo", "sha").distinct()
     w = Window.partitionBy("repo").orderBy("pos")
     level = seeds.groupBy("repo", "sha").agg(F.min("ord").cast("long").alias("pos"))
     seen = frontier = cut(level)
     found, depth = None, 0
-    while depth <= max_depth and not frontier.isEmpty():
+    while (max_depth is None or depth <= max_depth) and not frontier.isEmpty():
         here = frontier.join(known, ["repo", "sha"], "left_semi").select("repo", "sha", F.lit(depth).cast("long").alias("depth"), (F.row_number().over(w) - 1).cast("long").alias("pos"))
         here = cut(here)
         found = here if found is None else found.unionByName(here)
@@ -233,11 +233,11 @@ def rev_parse(parents: DataFrame, refs: DataFrame, expression: str) -> DataFrame
     return out
 
 
-def first_parent_chain(parents: DataFrame, heads: DataFrame, max_depth: int = 1000) -> DataFrame:
+def first_parent_chain(parents: DataFrame, heads: DataFrame, max_depth: int | None = 1000) -> DataFrame:
     """(repo, head, depth, sha): each head's chain of first parents, by reach that doubles with each join."""
     jump = cut(parents.where("ord = 0 and parent is not null").select("repo", F.col("sha").alias("s"), F.col("parent").alias("to")))
     chain = heads.select("repo", F.col("sha").alias("head"), F.lit(0).cast("long").alias("depth"), "sha")
-    step = 1
+    step, max_depth = 1, jump.count() if max_depth is None else max_depth  # no chain is longer than there are edges
     while step <= max_depth and not jump.isEmpty():
         c, j = chain.alias("c"), jump.alias("j")
         further = c.join(j, (F.col("c.repo") == F.col("j.repo")) & (F.col("c.sha") == F.col("j.s"))).select("c.repo", "c.head", (F.col("c.depth") + step).alias("depth"), F.col("j.to").alias("sha"))
@@ -248,14 +248,14 @@ def first_parent_chain(parents: DataFrame, heads: DataFrame, max_depth: int = 10
     return chain
 
 
-def blame(versions: DataFrame, max_depth: int = 1000) -> DataFrame:
+def blame(versions: DataFrame, max_depth: int | None = 1000) -> DataFrame:
     """(key, line_number, line, depth) for the version of depth 0 of each file: the depth that each line is attributed to.
 
     versions: key, depth, content (text; null where the file is missing), newest first. A line
     belongs to the last version of the unbroken run of versions, from the newest, that hold it.
     Versions beyond the first missing one do not count. One shuffle by (key, line); no iteration.
     """
-    near = versions.where(F.col("depth") <= max_depth)
+    near = versions if max_depth is None else versions.where(F.col("depth") <= max_depth)
     w = Window.partitionBy("key").orderBy("depth")
     whole = near.withColumn("n", F.row_number().over(w) - 1).withColumn("gone", F.max(F.col("content").isNull().cast("int")).over(w)).where("gone = 0 and depth = n")
     lined = whole.select("key", "depth", C.split_lines(F.col("content"), "blame").alias("lines"))
@@ -266,7 +266,7 @@ def blame(versions: DataFrame, max_depth: int = 1000) -> DataFrame:
     return start.join(run, ["key", "line"]).select("key", "line_number", "line", "depth")
 
 
-def blame_commits(versions: DataFrame, max_depth: int = 1000) -> DataFrame:
+def blame_commits(versions: DataFrame, max_depth: int | None = 1000) -> DataFrame:
     """blame with the commit column of versions instead of depth."""
     found = blame(versions, max_depth)
     return found.join(versions.select("key", "depth", "commit"), ["key", "depth"]).select("key", "line_number", "line", "commit")

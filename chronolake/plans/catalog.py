@@ -65,7 +65,7 @@ BLOB_SHA = "sha1(encode('blob ' || strlen(text)) || '\\x00'::blob || encode(text
 
 def _blamed(spark: SparkSession, d: str) -> DataFrame:
     v = M.file_versions(spark, d)
-    return history.blame_commits(v.withColumnRenamed("turn", "commit"))
+    return history.blame_commits(v.withColumnRenamed("turn", "commit"), None)
 
 
 def _metadata(spark: SparkSession, d: str) -> DataFrame:
@@ -566,7 +566,7 @@ def _heads(commits):
 @query("G1_log", LOG + " select repo, n::varchar sha, d::bigint as depth from w")
 def log(spark, d):
     commits, parents = M.order_graph(spark, d)
-    return history.log_walk(parents, _heads(commits)).select("repo", "sha", "depth")
+    return history.log_walk(parents, _heads(commits), None).select("repo", "sha", "depth")
 
 
 @query("G1_log_filtered", LOG + " select w.repo, w.n::varchar sha, d::bigint as depth, message from w join o on o.repo = w.repo and o.n = w.n where message like '1-%' and d <= 4")
@@ -581,7 +581,7 @@ def log_limit(spark, d):
     c = M.turn_commits(spark, d).withColumn("repo", F.col("repo").cast("string"))
     parents = c.select("repo", "sha", F.lit(0).alias("ord"), "parent")
     heads = c.groupBy("repo").agg(F.max_by("sha", "turn").alias("sha")).withColumn("ord", F.lit(0))
-    found = history.log(history.log_walk(parents, heads), c, F.col("author") == "assistant", 2)
+    found = history.log(history.log_walk(parents, heads, None), c, F.col("author") == "assistant", 2)
     return found.select(F.col("repo").cast("long").alias("conv_id"), "turn", "rank")
 
 
@@ -608,7 +608,7 @@ def rev_parse(spark, d):
 @query("J6_first_parents", f"with recursive {GRAPH}, h as (select repo, max(n) n from o group by repo), r as (select repo, n head, 0 d, n from h union all select r.repo, head, d + 1, par.p from r join par on par.repo = r.repo and par.n = r.n and par.ord = 0) select repo, head::varchar head, d::bigint as depth, n::varchar sha from r")
 def first_parents(spark, d):
     commits, parents = M.order_graph(spark, d)
-    return history.first_parent_chain(parents, _heads(commits).select("repo", "sha"))
+    return history.first_parent_chain(parents, _heads(commits).select("repo", "sha"), None)
 
 
 @query("R14_log_by_path", f"with v as (select conv_id, turn, sha1(string_agg(role, ',') over (partition by conv_id order by turn rows between 1 preceding and current row)) sha from conversations) select conv_id, turn, sha from (select *, lag(sha) over (partition by conv_id order by turn) b from v) where sha is distinct from b")
@@ -626,7 +626,7 @@ SIDES = f"with recursive {GRAPH}, h as (select repo, max(n) a, max(n) - 1 b from
 def _sides(spark, d):
     commits, parents = M.order_graph(spark, d)
     n = commits.groupBy("repo").agg(F.max("n").alias("n")).where("n >= 1")
-    walk = lambda k: history.log_walk(parents, n.select("repo", (F.col("n") - k).cast("string").alias("sha"), F.lit(0).alias("ord"))).select("repo", "sha")
+    walk = lambda k: history.log_walk(parents, n.select("repo", (F.col("n") - k).cast("string").alias("sha"), F.lit(0).alias("ord")), None).select("repo", "sha")
     return walk(0), walk(1)
 
 

@@ -71,6 +71,19 @@ def test_rev_parse(spark):
         history.rev_parse(graph(spark, DAG), refs, "^x")
 
 
+def test_no_depth_limit(spark):
+    """A chain of 3000 commits, whole: by its task, by first parents, and the lines of its oldest version."""
+    n = 3000
+    parents = graph(spark, {str(i): [str(i - 1)] if i else [] for i in range(n)})
+    seeds = spark.createDataFrame([("r", str(n - 1), 0)], "repo string, sha string, ord int")
+    want = {(str(n - 1 - d), d) for d in range(n)}
+    assert {(r["sha"], r["depth"]) for r in history.log_walk(parents, seeds, None).collect()} == want
+    assert history.log_walk(parents, seeds).count() == 1001
+    assert {(r["sha"], r["depth"]) for r in history.first_parent_chain(parents, seeds.select("repo", "sha"), None).collect()} == want
+    versions = spark.createDataFrame([("f", d, "old", str(d)) for d in range(n)], "key string, depth int, content string, commit string")
+    assert history.blame(versions, None).first()["depth"] == n - 1 and history.blame_commits(versions, None).first()["commit"] == str(n - 1)
+
+
 def test_blame(spark):
     files = [("line one\nline two\n", "A"), ("line one\nline two\nline three\n", "B"), ("line one\nline two CHANGED\nline three\n", "C")]
     versions = spark.createDataFrame([("f", 2 - i, t, c) for i, (t, c) in enumerate(files)], "key string, depth int, content string, commit string")
