@@ -1,45 +1,72 @@
-"""The folder that executors share, and cutting lineage through it."""
+"""The folder that executors share, and cutting lineage through files in it."""
 
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Frees the shuffle files of a query when it ends, where this Spark knows the setting.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_own: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or an own folder where it is unset (tests)."""
+    """spark.checkpoint.dir. Where that is unset, an own folder on one machine; on a cluster an error, as executors could not see that folder."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="chronolake-")
-        atexit.register(shutil.rmtree, named, True)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
+    if named:
+        return named
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if sc.applicationId not in _own:
+        _own[sc.applicationId] = tempfile.mkdtemp(prefix="chronolake-")
+        atexit.register(shutil.rmtree, _own[sc.applicationId], True)
+    return _own[sc.applicationId]
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def _freeing(spark: SparkSession):
+    """Within it, a query's shuffle files go when it ends; what was set before is set again."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder and cut its lineage; lost executors cost no recomputation."""
+    """df, written to the shared folder and read again: its lineage ends there, and lost executors cost no recomputation."""
     spark = df.sparkSession
-    shared_dir(spark)
-    done = df.checkpoint(eager=True)
-    # A checkpoint keeps the size that was estimated for what led to it, and each join multiplies
-    # sizes: in a loop they get millions of digits. A plain scan of its rows starts afresh.
-    rows = done._jdf.queryExecution().toRdd()
-    return type(done)(spark._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), spark)
+    path = scratch(spark, "cut")
+    with _freeing(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def opened(uri: str):
+    """(file system, path) of a path in the shared folder, whatever store it is in."""
+    from pyarrow import fs
+
+    return (fs.LocalFileSystem(), uri) if uri.startswith("/") else fs.FileSystem.from_uri(uri)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the driver collect its garbage: Spark removes the shuffle and checkpoint files of what is no longer referred to, and the heap shrinks again."""
-    gc.collect()
-    spark._jvm.System.gc()
+def drop(*frames: DataFrame) -> None:
+    """Deletes the files of frames that cut made, and that nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for df in frames for f in df.inputFiles()}:
+        if "/cut-" in folder:
+            store, path = opened(folder)
+            store.delete_dir(path)
