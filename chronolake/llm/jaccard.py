@@ -1,33 +1,38 @@
 """N-gram Jaccard join: which documents share at least num/den of their word shingles.
 
-1. Rows with equal sets are one node from the start (a digest, combined map-side); the node's
-   key is a number of its own, and the text that stands for it that of its least (doc_id, hash).
-2. Candidates without loss. In the order of their hashes, two sets of similarity >= t share at
-   least l elements among their first n - ceil(t n) + l, for l = 1 + (1 - t) n of the smaller
-   one. First, the elements of these prefixes are counted (a task writes each element once per
-   block of its rows, so none is hot in the shuffle), and sets that share fewer than l with
-   all others together are out. Then the whole sets of the rest are put in the order of how many
-   of them hold an element, rarest first: sets that may link share one of their first
-   n - ceil(t n) + 1 elements. By these, sets are tied to the first holder; the candidate
-   clusters are the components.
-3. In each cluster a signature tree (OR-combined token bitmaps, size ranges) is traversed
-   against itself. Node pairs are pruned where sizes or the largest possible overlap exclude
-   a link, or where all of both is one component already; what is left is counted exactly.
-   Clusters beyond CLUSTER_SHINGLES are dealt out in blocks: first all meet the hub (the
-   node of most candidate ties), then only blocks with nodes that the hub did not settle
-   are compared with the others.
-
-Only the texts of clustered nodes are turned into sets for step 3; sets move once per block.
+1. Rows with equal sets are one node from the start (a digest, combined map-side); the text
+   that stands for it is that of its least (doc_id, hash).
+2. Dealing. Nodes are dealt out to traversal tasks so that two that link always meet. Shingles
+   fall into k parts by their hashes. Two linked sets of sizes up to a and b differ in at most
+   h = (a + b)(1 - t)/(1 + t) shingles, so that at least k - h parts are equal on both sides;
+   k is h + 1 and some slack, by the size range of the smaller set. A task writes the hash of
+   each part that is not empty once per block of its rows, so none is hot in the shuffle. Nodes
+   that share fewer parts with all others together than a link takes are out; the rest are
+   tied by their parts, and the components of these ties are clusters. Nothing is lost by it.
+3. Candidates. A cluster is joined with itself by signature trees: sets in the order of size
+   are leaves, and nodes above them hold the OR of their token bitmaps and their size range.
+   Two trees are traversed against each other, level by level, and a pair of nodes is
+   given up where sizes or the largest possible overlap exclude a link. The pairs of sets that
+   come out are counted exactly. Clusters beyond CLUSTER_SHINGLES are dealt out in blocks, a
+   pair of blocks to a task.
+
+jaccard_join finds every link and so counts a document's links; in a cluster it costs in proportion
+to the pairs of different sets that the trees do not exclude. jaccard_rows finds components: pairs
+that are one component already are skipped, and in clusters of many blocks a first round of
+neighbouring blocks finds the main component, whose members are then compared with the others
+only. Shingles are compared by 64-bit hashes. Only the texts of clustered nodes are turned into
+sets for step 3.
 
 Cases: null or empty text, or no word: n_shingles 0, linked with nothing, a component of its
 own; fewer words than a shingle: the whole sequence is one; null doc_id: linked with nothing,
-null component; repeated rows: equal sets, one component; several texts under one doc_id are
+null component; repeated rows: equal sets, linked; several texts under one doc_id are
 linked each by itself, so that their rows may have different components; empty table: empty
 result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 
@@ -36,14 +41,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, release, utf8
-from .graph import components
+from .common import cut, drop, utf8
+from .graph import Forest, components
 
 BLOCK_TOKENS = 2_000_000
 CACHE_WORDS = 400_000
-#: Shingles of a cluster that one task compares; larger clusters are split into blocks.
-CLUSTER_SHINGLES = 150_000
-BITS, LEAF = 4096, 16
+#: Shingles of a cluster that one side of a task compares; larger clusters are split into blocks.
+CLUSTER_SHINGLES = 60_000
+#: Bits of a set's signature, children of a tree node, and node pairs that are looked at at a time.
+BITS, FAN, PAIRS = 4096, 4, 20_000
+#: A size range goes from L to about L / t**RANGE.
+RANGE = 2
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -82,10 +90,6 @@ def _digest(s: np.ndarray) -> bytes:
     return blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def prefix_size(n: int, num: int, den: int) -> int:
-    return min(n, n - -(-n * num // den) + 1 + n * (den - num) // den)
-
-
 def _blocks(batches: Iterable[pa.RecordBatch], shingler: Shingler) -> Iterator[tuple[list, list, list[np.ndarray]]]:
     """(doc_ids, hashes of texts, sets) of about BLOCK_TOKENS shingles."""
     ids, hashes, sets, size = [], [], [], 0
@@ -112,109 +116,134 @@ def text_hash() -> Column:
     return F.xxhash64(utf8())
 
 
+def _key(digest: bytes) -> int:
+    """62 bits of a digest; the part hashes of a set are found by them."""
+    return int.from_bytes(digest[:8], "little", signed=True) >> 2
+
+
 def _sizes(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, h, n_shingles, digest)."""
+    """(doc_id, h, n_shingles, digest, key)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, hashes, sets in _blocks(batches, Shingler(words)):
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary())], ["doc_id", "h", "n_shingles", "digest"])
-
-    return _source(docs).mapInArrow(run, "doc_id long, h long, n_shingles long, digest binary")
-
-
-def _holders(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(element, doc_id, found, alone): per block of a task, the first holder of each prefix element (alone: no other in the block), and for further holders how many elements they found held (element null)."""
+            digests = [_digest(s) if len(s) else None for s in sets]
+            keys = [None if d is None else _key(d) for d in digests]
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.int64())], ["doc_id", "h", "n_shingles", "digest", "key"])
+
+    return _source(docs).mapInArrow(run, "doc_id long, h long, n_shingles long, digest binary, key long")
+
+
+class SizeRanges:
+    """Ranges of set sizes that follow each other; a set links into its own range and those next to it alone."""
+
+    def __init__(self, num: int, den: int) -> None:
+        self.num, self.den, self.first = num, den, [1]
+
+    def of(self, n: int) -> int:
+        while self.first[-1] <= n:
+            low = self.first[-1]
+            self.first.append(max(low + 1, low * self.den**RANGE // self.num**RANGE))
+        return bisect_right(self.first, n) - 1
+
+    def probes(self, n: int) -> range:
+        """The ranges that the smaller of two linked sets, one of n elements, may be in."""
+        return range(self.of(-(-n * self.num // self.den)), self.of(n) + 1)
+
+    def parts(self, at: int) -> tuple[int, int]:
+        """(parts, parts that are equal in two linked sets at least) for smaller sets in a range; (0, 0) where only equal sets link."""
+        most = self.first[at + 1] - 1
+        differ = (most + most * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
+        equal = 5 + differ // 6
+        return (differ + equal, equal) if differ else (0, 0)
+
+
+def _probes(keys: list[int], sets: list[np.ndarray], ranges: SizeRanges) -> tuple[np.ndarray, ...]:
+    """(part hash, probe) of each part that counts, and (probe, parts that it shares with a partner at least). A probe is a set in one size range."""
+    owner, names, parts, equal, salt = [], [], [], [], []
+    for i, s in enumerate(sets):
+        for at in ranges.probes(len(s)):
+            k, e = ranges.parts(at)
+            if k:
+                owner.append(i)
+                names.append(keys[i] << 2 | (at & 3))
+                parts.append(k)
+                equal.append(e)
+                salt.append(at)
+    if not owner:
+        return (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 3
+    parts, equal = np.array(parts), np.array(equal)
+    begin = np.cumsum(parts) - parts
+    size = np.array([len(sets[i]) for i in owner])
+    element = np.concatenate([sets[i] for i in owner])
+    slot = ((element >> np.uint64(20)) % np.repeat(parts, size).astype(np.uint64)).astype(np.int64) + np.repeat(begin, size)
+    total = int(parts.sum())
+    mixed = np.zeros(total, np.uint64)
+    np.add.at(mixed, slot, _mix(element + np.uint64(1)))
+    held = np.bincount(slot, minlength=total) > 0
+    probe = np.repeat(np.arange(len(owner)), parts)
+    empty = parts - np.bincount(probe[held], minlength=len(owner))
+    # an empty part may equal a partner's; it counts as shared by all, and only sets of too many of them are found by these
+    need = np.maximum(1, equal - empty)
+    held |= (empty >= equal)[probe]
+    index = np.arange(total) - np.repeat(begin, parts)
+    hashes = _mix(mixed + _mix(np.repeat(np.array(salt), parts).astype(np.uint64) * np.uint64(1 << 32) + index.astype(np.uint64)))
+    return hashes[held], probe[held], np.array(names, np.int64), need
+
+
+def _signatures(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(part, probe, need, found, met): per block of a task, one holder of each part hash (found: if another in the block has it), and for other holders how many parts they share with that one (met; part null)."""
+    names = ["part", "probe", "need", "found", "met"]
+
+    def rows(part, probe, need, found, met) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(probe), 100_000):
+            c = slice(i, i + 100_000)
+            some = lambda x: pa.nulls(len(probe[c]), pa.int64()) if x is None else pa.array(x[c])
+            yield pa.record_batch([some(part), pa.array(probe[c]), pa.array(need[c].astype(np.int32)), pa.array(found[c].astype(np.int32)), some(met)], names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges = SizeRanges(num, den)
         for ids, _, sets in _blocks(batches, Shingler(words)):
-            first: dict[bytes, int] = {}
-            for i, s in enumerate(sets):
-                if len(s) and ids[i] is not None:
-                    first.setdefault(_digest(s), i)
-            if not first:
+            first = {_digest(s): s for i, s in zip(ids, sets) if i is not None and len(s)}
+            part, of, probe, need = _probes([_key(d) for d in first], list(first.values()), ranges)
+            if not len(part):
                 continue
-            rows = list(first.values())
-            doc = np.array([ids[i] for i in rows], np.int64)
-            heads = [sets[i][: prefix_size(len(sets[i]), num, den)] for i in rows]
-            element, of = np.concatenate(heads), np.repeat(np.arange(len(rows)), [len(h) for h in heads])
-            order = np.argsort(element, kind="stable")
-            element, of = element[order], of[order]
-            new = np.concatenate([[True], element[1:] != element[:-1]])
-            at = np.flatnonzero(new)
-            alone = np.diff(np.concatenate([at, [len(element)]])) == 1
-            n = np.bincount(of[~new], minlength=len(rows))
-            more = np.flatnonzero(n)
-            key = np.concatenate([element[new].view(np.int64), doc[more]])
-            owner = np.concatenate([doc[of[new]], doc[more]])
-            found = np.concatenate([np.ones(len(at), np.int32), n[more].astype(np.int32)])
-            alone = np.concatenate([alone, np.zeros(len(more), bool)])
-            none = np.concatenate([np.zeros(len(at), bool), np.ones(len(more), bool)])
-            for k in range(0, len(key), 100_000):
-                c = slice(k, k + 100_000)
-                yield pa.record_batch([pa.array(key[c], mask=none[c]), pa.array(owner[c]), pa.array(found[c]), pa.array(alone[c])], ["element", "doc_id", "found", "alone"])
-
-    return _source(docs).mapInArrow(run, "element long, doc_id long, found int, alone boolean")
-
-
-def _need(n: Column, num: int, den: int) -> Column:
-    """The least number of prefix elements that a set of n elements shares with a partner; that has ceil(t n) at least."""
-    least = F.floor((n * num + den - 1) / den)
-    return 1 + F.floor(least * (den - num) / den)
-
-
-def _able(docs: DataFrame, sizes: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(doc_id) of the documents that share enough of their prefixes with others to have a partner.
-
-    The texts of one doc_id count as one here, with what all share and what the smallest needs:
-    none that may link is lost.
-    """
-    rows = _holders(docs, words, num, den)
-    where = F.coalesce("element", F.xxhash64("doc_id"))  # rows without an element go anywhere
-    held = rows.repartition(where)
-    holders = F.count("element").over(Window.partitionBy(where))
-    shared = held.withColumn("holders", holders).where("element is null or not alone or holders > 1")
-    have = shared.groupBy("doc_id").agg(F.sum("found").alias("have"))
-    size = sizes.where("n_shingles > 0").groupBy("doc_id").agg(F.min("n_shingles").alias("n"))
-    return have.join(size, "doc_id").where(F.col("have") >= _need(F.col("n"), num, den)).select("doc_id")
-
-
-def _pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): ties between the nodes of sets (node, shingles) that may link: those that share one of their rarest n - ceil(t n) + 1 elements."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, nodes, size = [], [], 0
-
-        def out() -> pa.RecordBatch:
-            n = np.array([len(h) for h in held])
-            return pa.record_batch([pa.array(np.concatenate(held)), pa.array(np.repeat(np.array(nodes, np.int64), n)), pa.array(np.repeat(n, n).astype(np.int32))], ["element", "node", "n"])
-
-        for b in batches:
-            for node, raw in zip(b.column("node").to_pylist(), b.column("shingles").to_pylist()):
-                held.append(np.frombuffer(raw, np.int64))
-                nodes.append(node)
-                size += len(held[-1])
-                if size >= 50_000:
-                    yield out()
-                    held, nodes, size = [], [], 0
-        if held:
-            yield out()
-
-    held = sets.select("node", "shingles").mapInArrow(run, "element long, node long, n int")
-    holders = cut(held.groupBy("element").agg(F.count(F.lit(1)).cast("int").alias("holders")).where("holders > 1"))
-    common = held.join(holders, "element").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("holders", "element"))).alias("e"), F.first("n").alias("n"))
-    # elements that no other set holds come first in the order, and tie nothing
-    n = F.col("n").cast("long")
-    rest = n - F.floor((n * num + den - 1) / den) + 1 - (n - F.size("e"))
-    first = cut(common.where(rest > 0).select("node", F.explode(F.transform(F.slice("e", F.lit(1), rest.cast("int")), lambda x: x["element"])).alias("element")))
-    head = cut(first.groupBy("element").agg(F.min("node").alias("b")))
-    return first.join(head, "element").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+            _, same, times = np.unique(part, return_inverse=True, return_counts=True)
+            alone = times[same] == 1
+            shares = np.bincount(of[~alone], minlength=len(probe))
+            order = np.lexsort((-shares[of], part))  # of those that hold a part, the one that shares most stands for them
+            part, of, alone = part[order], of[order], alone[order]
+            new = np.concatenate([[True], part[1:] != part[:-1]])
+            lead = of[np.maximum.accumulate(np.where(new, np.arange(len(part)), 0))]
+            yield from rows(part[new].view(np.int64), probe[of[new]], need[of[new]], ~alone[new], None)
+            tie, found = np.unique(of[~new] * len(probe) + lead[~new], return_counts=True)
+            yield from rows(None, probe[tie // len(probe)], need[tie // len(probe)], found, probe[tie % len(probe)])
+
+    return _source(docs).mapInArrow(run, "part long, probe long, need int, found int, met long")
+
+
+def _ties(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(a, b): ties between the keys of nodes that share enough parts with others to have a partner."""
+    rows = _signatures(docs, words, num, den)
+    where = Window.partitionBy(F.coalesce("part", F.xxhash64("probe")))  # rows without a part go anywhere
+    holder = F.when(F.col("part").isNotNull(), F.col("probe"))
+    shared = rows.withColumn("one", F.min(holder).over(where)).withColumn("other", F.max(holder).over(where)).where("part is null or found > 0 or one < other")
+    shared = cut(shared.select("part", "probe", "need", F.greatest("found", F.lit(1)).alias("found"), "met"))
+    able = cut(shared.groupBy("probe").agg(F.sum("found").alias("have"), F.max("need").alias("need")).where("have >= need").select("probe"))
+    near = cut(shared.where("part is null").join(able, "probe").select("probe", "met"))
+    # those that stand for others are kept too: ties go through them
+    kept = able.unionByName(near.select(F.col("met").alias("probe"))).distinct()
+    held = cut(shared.where("part is not null").join(kept, "probe").select("part", "probe"))
+    least = cut(held.groupBy("part").agg(F.min("probe").alias("met")))
+    far = held.join(least, "part").where("probe <> met").select("probe", "met")
+    ties = cut(near.unionByName(far).select(F.shiftright("probe", 2).alias("a"), F.shiftright("met", 2).alias("b")).where("a <> b").distinct())
+    drop(shared, able, near, held, least)
+    return ties
 
 
 class SignatureTree:
-    """Sets in the order of size, packed into leaves of LEAF and nodes of two; a node has the OR of its bitmaps, its size range and its most bit collisions."""
+    """Sets in the order of size; each level holds, for groups of FAN nodes below, the OR of bitmaps, the size range and the most bit collisions of a set."""
 
     def __init__(self, sets: list[np.ndarray]) -> None:
-        self.sets = sets
         n = np.array([len(s) for s in sets])
         low = np.array([s[0] for s in sets], np.uint64)  # the least hash: similar sets often share it
         self.order = np.lexsort((low, n))
@@ -222,82 +251,83 @@ class SignatureTree:
         for i, s in enumerate(sets):
             at = (s & np.uint64(BITS - 1)).astype(np.int64)
             np.bitwise_or.at(bits[i], at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-        held = np.bitwise_count(bits).sum(1).astype(np.int64)
-        order = self.order
-        starts = np.arange(0, len(sets), LEAF)
-        level = [np.bitwise_or.reduceat(bits[order], starts), np.minimum.reduceat(n[order], starts), np.maximum.reduceat(n[order], starts), np.maximum.reduceat((n - held)[order], starts)]
+        twice = n - np.bitwise_count(bits).sum(1).astype(np.int64)
+        level = [x[self.order] for x in (bits, n, n, twice)]
         self.levels = [level]
         while len(level[0]) > 1:
-            pairs = np.arange(0, len(level[0]), 2)
-            level = [np.bitwise_or.reduceat(level[0], pairs), np.minimum.reduceat(level[1], pairs), np.maximum.reduceat(level[2], pairs), np.maximum.reduceat(level[3], pairs)]
+            group = np.arange(0, len(level[0]), FAN)
+            level = [f.reduceat(x, group) for f, x in zip((np.bitwise_or, np.minimum, np.maximum, np.maximum), level)]
             self.levels.append(level)
 
-    def span(self, level: int, node: int) -> tuple[int, int]:
-        return node * LEAF << level, min(len(self.sets), (node + 1) * LEAF << level)
-
-    def may_link(self, level: int, a: int, b: int, num: int, den: int) -> bool:
-        bits, low, high, twice = self.levels[level]
-        if high[a] * den < low[b] * num or high[b] * den < low[a] * num:
-            return False
-        most = min(int(np.bitwise_count(bits[a] & bits[b]).sum()) + int(min(twice[a], twice[b])), int(min(high[a], high[b])))
-        return most * (num + den) >= num * int(low[a] + low[b])
-
-
-class _Forest:
-    """Labels of components; the label is the least position in the order of ids."""
-
-    def __init__(self, n: int) -> None:
-        self.label = np.arange(n)
-
-    def tie(self, a: int, b: int) -> None:
-        x, y = sorted((self.label[a], self.label[b]))
-        if x != y:
-            self.label[self.label == y] = x
-
-
-def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """How many elements each set of left shares with each of right."""
-    a, of_a = np.concatenate(left), np.repeat(np.arange(len(left)), [len(s) for s in left])
-    b, of_b = np.concatenate(right), np.repeat(np.arange(len(right)), [len(s) for s in right])
-    order = np.argsort(b, kind="stable")
-    b, of_b = b[order], of_b[order]
-    low, high = np.searchsorted(b, a, "left"), np.searchsorted(b, a, "right")
-    n = high - low
-    ends = np.cumsum(n)
-    at = np.arange(int(ends[-1])) + np.repeat(low - (ends - n), n)
-    return np.bincount(np.repeat(of_a, n) * len(right) + of_b[at], minlength=len(left) * len(right)).reshape(len(left), len(right))
-
-
-def link(sets: list[np.ndarray], num: int, den: int, settled: np.ndarray | None = None) -> np.ndarray:
-    """The label of each set's component: the least position in its component. settled: sets that are one component already."""
-    forest, n = _Forest(len(sets)), np.array([len(s) for s in sets])
-    if settled is not None and settled.any():
-        forest.label[settled] = np.flatnonzero(settled)[0]
-    if len(sets) < 2:
-        return forest.label
-    tree = SignatureTree(sets)
-    order = tree.order
-    stack = [(len(tree.levels) - 1, 0, 0)]
+    def level(self, at: int) -> list[np.ndarray]:
+        return self.levels[min(at, len(self.levels) - 1)]
+
+
+def candidates(one: SignatureTree, two: SignatureTree, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Dual traversal: places of sets, (in one, in two), that the trees do not exclude from linking. For a tree with itself, each pair once."""
+    stack = [(max(len(one.levels), len(two.levels)) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
-        level, a, b = stack.pop()
-        (a0, a1), (b0, b1) = tree.span(level, a), tree.span(level, b)
-        mine, other = order[a0:a1], order[b0:b1]
-        labels = forest.label[mine]
-        if (labels == labels[0]).all() and (forest.label[other] == labels[0]).all():
-            continue
-        if not tree.may_link(level, a, b, num, den):
+        at, a, b = stack.pop()
+        if len(a) > PAIRS:
+            half = len(a) // 2
+            stack += [(at, a[half:], b[half:]), (at, a[:half], b[:half])]
             continue
-        if level:
-            wide = len(tree.levels[level - 1][0])
-            below = {tuple(sorted((x, y))) for x in (2 * a, 2 * a + 1) for y in (2 * b, 2 * b + 1) if x < wide and y < wide}
-            stack += [(level - 1, *p) for p in sorted(below)]
+        (bits, low, high, twice), (bits2, low2, high2, twice2) = one.level(at), two.level(at)
+        may = (high[a] * den >= low2[b] * num) & (high2[b] * den >= low[a] * num)
+        a, b = a[may], b[may]
+        overlap = np.bitwise_count(bits[a] & bits2[b]).sum(1).astype(np.int64) + np.minimum(twice[a], twice2[b])
+        most = np.minimum(overlap, np.minimum(high[a], high2[b]))
+        may = most * (num + den) >= num * (low[a] + low2[b])
+        a, b = a[may], b[may]
+        if not at:
+            own = a < b if one is two else np.ones(len(a), bool)
+            yield one.order[a[own]], two.order[b[own]]
             continue
-        common = _overlaps([sets[i] for i in mine], [sets[i] for i in other])
-        hit = common * (num + den) >= num * (n[mine][:, None] + n[other][None, :])
-        for x, y in zip(*np.nonzero(hit)):
-            if mine[x] != other[y]:
-                forest.tie(mine[x], other[y])
-    return forest.label
+        below = []
+        for tree, x in ((one, a), (two, b)):
+            wide, down = len(tree.level(at - 1)[0]), at < len(tree.levels)
+            below.append((x[:, None] * FAN + np.arange(FAN) if down else x[:, None], wide))
+        (a, wide), (b, wide2) = below
+        a, b = np.repeat(a, b.shape[1], axis=1).ravel(), np.tile(b, (1, a.shape[1])).ravel()
+        there = (a < wide) & (b < wide2) & ((a <= b) if one is two else True)
+        if there.any():
+            stack.append((at - 1, a[there], b[there]))
+
+
+def link(sets: list[np.ndarray], num: int, den: int, left: int | None = None, weights: list[int] | None = None) -> tuple[list[int], np.ndarray]:
+    """(a member of each set's component, weight of the sets that it links with).
+
+    left: only pairs of one of the first left sets with one of the others are looked at. Without weights,
+    links are not counted, and pairs of one component are skipped.
+    """
+    forest, links = Forest(), np.zeros(len(sets), np.int64)
+    n = np.array([len(s) for s in sets])
+    if len(sets) > 1 and (left is None or 0 < left < len(sets)):
+        one = SignatureTree(sets[:left])
+        two = one if left is None else SignatureTree(sets[left:])
+        for a, b in candidates(one, two, num, den):
+            b = b if left is None else b + left
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], b[order]
+            for mine in np.split(np.arange(len(a)), np.flatnonzero(a[1:] != a[:-1]) + 1) if len(a) else ():
+                i, others = int(a[mine[0]]), b[mine]
+                if weights is None:
+                    root = forest.root(i)
+                    others = others[[forest.root(j) != root for j in others.tolist()]]
+                if not len(others):
+                    continue
+                size = n[others]
+                theirs = np.concatenate([sets[j] for j in others])
+                at = np.searchsorted(sets[i], theirs)
+                same = sets[i][np.minimum(at, n[i] - 1)] == theirs
+                common = np.add.reduceat(same.astype(np.int64), np.cumsum(size) - size)
+                hit = others[common * (num + den) >= num * (n[i] + size)]
+                for j in hit.tolist():
+                    forest.tie(i, j)
+                if weights is not None and len(hit):
+                    links[i] += sum(weights[j] for j in hit.tolist())
+                    links[hit] += weights[i]
+    return [forest.root(i) for i in range(len(sets))], links
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -318,114 +348,135 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     return once if repeated.isEmpty() else once.unionByName(read(repeated).groupBy("node").agg(F.first("shingles").alias("shingles")))
 
 
-def _linker(num: int, den: int):
+def _linker(num: int, den: int, count: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (task, node): links the sets of each task."""
+        """Rows sorted by (task, side, node): links the sets of each task; those of side 1, if any, with those of side 0 alone."""
 
         def flush() -> pa.RecordBatch:
-            labels = link([np.frombuffer(x, np.uint64) for x in raw], num, den, np.array(settled, bool))
+            labels, links = link([np.frombuffer(x, np.uint64) for x in raw], num, den, None if sides is None else sides.count(0), copies if count else None)
             ids = np.array(nodes, np.int64)
-            return pa.record_batch([pa.array(ids), pa.array(ids[labels])], ["a", "b"])
+            return pa.record_batch([pa.array(ids), pa.array(ids[labels]), pa.array(links)], ["a", "b", "links"])
 
-        task, nodes, raw, settled = None, [], [], []
+        task, nodes, raw, copies, sides, paired = None, [], [], [], [], False
         for b in batches:
-            for t, node, s, done in zip(*(b.column(c).to_pylist() for c in ("task", "node", "shingles", "settled"))):
+            for t, cross, side, node, n, s in zip(*(b.column(c).to_pylist() for c in ("task", "cross", "side", "node", "copies", "shingles"))):
                 if t != task and nodes:
+                    sides = sides if paired else None
                     yield flush()
-                    nodes, raw, settled = [], [], []
-                task = t
+                    nodes, raw, copies, sides = [], [], [], []
+                task, paired = t, cross
                 nodes.append(node)
                 raw.append(s)
-                settled.append(done)
+                copies.append(n)
+                sides.append(side)
         if nodes:
+            sides = sides if paired else None
             yield flush()
 
     return run
 
 
-def _links(sets: DataFrame, num: int, den: int, by_hub: DataFrame | None) -> DataFrame:
-    """(a, b): each node and a member of its component, as far as one task sees it."""
-    if by_hub is None:
-        dealt = sets.select(F.col("cluster").cast("string").alias("task"), "node", "shingles", F.lit(False).alias("settled"))
-    else:
-        s = sets.join(by_hub.select(F.col("a").alias("node"), F.lit(True).alias("settled")), "node", "left").withColumn("settled", F.coalesce("settled", F.lit(False)) | (F.col("node") == F.col("hub")))
-        block = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long"))
-        s = s.withColumn("block", F.concat(F.when(F.col("settled"), "s").otherwise("u"), block))
-        # blocks that occur: one row per cluster and block
-        there = s.where("not settled").select("cluster", F.col("block").alias("against")).distinct()
-        met = s.join(there, "cluster")
-        pair = F.when(F.col("block") <= F.col("against"), F.concat_ws("/", "block", "against")).otherwise(F.concat_ws("/", "against", "block"))
-        own = met.select(F.concat_ws(":", "cluster", pair).alias("task"), "node", "shingles", "settled")
-        # an unsettled block also goes to each pair that it makes with a settled one
-        settled_blocks = s.where("settled").select("cluster", F.col("block").alias("against")).distinct()
-        more = s.where("not settled").join(settled_blocks, "cluster").select(F.concat_ws(":", "cluster", F.concat_ws("/", "against", "block")).alias("task"), "node", "shingles", "settled")
-        dealt = own.unionByName(more)
-    return dealt.repartition("task").sortWithinPartitions("task", "node").mapInArrow(_linker(num, den), "a long, b long").where("a <> b")
-
-
-def _hub_links(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): nodes of large clusters that link with their cluster's hub b."""
+def _compared(dealt: DataFrame, num: int, den: int, count: bool) -> DataFrame:
+    """(a, b, links) of rows (task, cross, side, node, copies, shingles): a member b of a's component as far as a task sees it, and how many links it finds."""
+    rows = dealt.select("task", "cross", "side", "node", "copies", "shingles").repartition("task").sortWithinPartitions("task", "side", "node")
+    return rows.mapInArrow(_linker(num, den, count), "a long, b long, links long")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a, to = [], []
-            for node, hub, mine, other in zip(*(b.column(c).to_pylist() for c in ("node", "hub", "shingles", "other"))):
-                x, y = np.frombuffer(mine, np.uint64), np.frombuffer(other, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if common * (num + den) >= num * (len(x) + len(y)):
-                    a.append(node)
-                    to.append(hub)
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(to, pa.int64())], ["a", "b"])
 
-    hubs = sets.where("node = hub").select(F.col("node").alias("hub"), F.col("shingles").alias("other"))
-    return sets.where("node <> hub").join(hubs, "hub").select("node", "hub", "shingles", "other").mapInArrow(run, "a long, b long")
+def _block(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
+
+
+def _task(rows: DataFrame, kind: str, low: Column, high: Column, side: Column) -> DataFrame:
+    """One row per task; a task has a cluster and two blocks, which are compared with each other, or one, which is with itself."""
+    return rows.withColumn("task", F.concat_ws("/", F.lit(kind), "cluster", low, high)).withColumn("side", side.cast("int"))
+
+
+def _whole(sets: DataFrame) -> DataFrame:
+    return _task(sets, "whole", F.lit(0), F.lit(0), F.lit(0)).withColumn("cross", F.lit(False))
+
+
+def _all_blocks(sets: DataFrame) -> DataFrame:
+    """All pairs of the blocks of a cluster, and each block with itself."""
+    own = sets.withColumn("own", _block(F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return _task(own, "all", F.least("own", "other"), F.greatest("own", "other"), F.col("own") > F.col("other")).withColumn("cross", F.col("own") != F.col("other"))
+
+
+def _next_blocks(sets: DataFrame) -> DataFrame:
+    """Each block with itself and with the next."""
+    own = sets.withColumn("own", _block(F.col("blocks")))
+    with_next = lambda first, side: _task(own, "next", first, (first + 1) % F.col("blocks"), F.lit(side)).withColumn("cross", F.lit(True))
+    before = (F.col("own") + F.col("blocks") - 1) % F.col("blocks")
+    return _task(own, "self", F.col("own"), F.col("own"), F.lit(0)).withColumn("cross", F.lit(False)).unionByName(with_next(F.col("own"), 0)).unionByName(with_next(before, 1))
+
+
+def _rest_blocks(sets: DataFrame, found: DataFrame, size: int) -> DataFrame:
+    """What _next_blocks left open: blocks of nodes outside their cluster's main component with each other and with blocks of that."""
+    roots = sets.select("node", "cluster", "n").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = cut(roots.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("n")))
+    main = sizes.groupBy("cluster").agg(F.max(F.struct("nodes", "root", "n")).alias("main"), F.sum("n").alias("n"))
+    blocks = lambda n: F.ceil(n / size).cast("int")
+    main = cut(main.select("cluster", F.col("main.root").alias("main"), blocks(F.col("main.n")).alias("main_blocks"), blocks(F.col("n") - F.col("main.n")).alias("rest")).where("rest > 0"))
+    placed = cut(roots.join(main, "cluster").select("node", "main_blocks", "rest", (F.col("root") == F.col("main")).alias("settled")))
+    rows = sets.join(placed, "node")
+    open_ = rows.where("not settled").withColumn("blocks", F.col("rest"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    out = open_.withColumn("own", _block(F.col("rest"))).withColumn("other", each("main_blocks"))
+    out = _task(out, "main", F.col("own"), F.col("other"), F.lit(0))
+    main_rows = rows.where("settled").withColumn("own", _block(F.col("main_blocks"))).withColumn("other", each("rest"))
+    main_rows = _task(main_rows, "main", F.col("other"), F.col("own"), F.lit(1))
+    return out.unionByName(main_rows).withColumn("cross", F.lit(True)).unionByName(_all_blocks(open_).select(*out.columns, "cross"))
 
 
 def _nodes(sizes: DataFrame) -> DataFrame:
-    """(digest, n, lead, node) of each distinct set; lead: the least (doc_id, h) of its texts, and how many rows have that one."""
-    texts = sizes.where("digest is not null and doc_id is not null").groupBy("digest", "doc_id", "h").agg(F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n"))
-    found = texts.groupBy("digest").agg(F.max("n").alias("n"), F.min(F.struct("doc_id", "h", "copies")).alias("lead"))
+    """(digest, key, n, copies, lead, node) of each distinct set; lead: the least (doc_id, h) of its texts, and how many rows have that one."""
+    texts = sizes.where("digest is not null and doc_id is not null").groupBy("digest", "key", "doc_id", "h").agg(F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n"))
+    found = texts.groupBy("digest", "key").agg(F.max("n").alias("n"), F.sum("copies").alias("copies"), F.min(F.struct("doc_id", "h", "copies")).alias("lead"))
     return cut(found.withColumn("node", F.monotonically_increasing_id()))
 
 
-def _clustered(docs: DataFrame, words: int, num: int, den: int, cluster_shingles: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(named rows, nodes, placed nodes, their sets): what a traversal of the candidate clusters needs."""
+def _clustered(docs: DataFrame, words: int, num: int, den: int, cluster_shingles: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(named rows, nodes, sets of the clustered nodes): what a traversal of the clusters needs."""
     sizes = cut(_sizes(docs, words))
-    reps = _nodes(sizes)
-    named = cut(sizes.join(reps.select("digest", "node", "lead"), "digest", "left").drop("digest"))
-    able = _able(docs, sizes, words, num, den).join(named.where("node is not null").select("doc_id", "node").distinct(), "doc_id").select("node").distinct()
-    able = cut(able.join(reps, "node").select("node", "digest", "lead"))
-    release(docs.sparkSession)
-    own = cut(_sets(docs, able, words))
-    release(docs.sparkSession)
-    pairs = cut(_pairs(own, num, den))
-    release(docs.sparkSession)
-    clusters = components(pairs)
-    degree = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    members = cut(clusters.join(reps.select("node", "n"), "node").join(degree, "node").select("node", F.col("root").alias("cluster"), "n", "degree"))
-    shape = cut(members.groupBy("cluster").agg(F.ceil(F.sum("n") / cluster_shingles).cast("int").alias("blocks"), F.max(F.struct("degree", (-F.col("node")).alias("at"))).alias("top")))
-    placed = cut(members.join(shape, "cluster").select("node", "cluster", "blocks", (-F.col("top.at")).alias("hub")))
-    return named, reps, placed, own.join(placed, "node")
-
-
-def jaccard_rows(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, cluster_shingles: int = CLUSTER_SHINGLES) -> DataFrame:
-    """jaccard_components with h (text_hash) and stays: false for a text that is not the least (doc_id, h) of its component."""
-    named, reps, placed, sets = _clustered(docs, words, num, den, cluster_shingles)
-    found = _links(sets.where("blocks <= 1"), num, den, None)
-    if not placed.where("blocks > 1").isEmpty():
-        large = sets.where("blocks > 1")
-        by_hub = cut(_hub_links(large, num, den))
-        found = found.unionByName(by_hub).unionByName(_links(large, num, den, by_hub))
-    release(docs.sparkSession)
-    roots = components(found).join(reps.select("node", F.struct("lead.doc_id", "lead.h").alias("own")), "node")
+    nodes = _nodes(sizes)
+    named = cut(sizes.join(nodes.select("digest", "node", "lead", "copies"), "digest", "left").drop("digest", "key"))
+    drop(sizes)
+    clusters = components(_ties(docs, words, num, den)).select(F.col("node").alias("key"), F.col("root").alias("cluster"))
+    members = cut(nodes.join(clusters, "key").select("node", "digest", "lead", "cluster", "n", "copies"))
+    shape = members.groupBy("cluster").agg(F.ceil(F.sum("n") / cluster_shingles).cast("int").alias("blocks"))
+    own = _sets(docs, members, words)
+    return named, nodes, cut(own.join(members.select("node", "cluster", "n", "copies").join(shape, "cluster"), "node"))
+
+
+def _first(named: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """named with first, the least (doc_id, h) of each row's component."""
+    roots = components(found).join(nodes.select("node", F.struct("lead.doc_id", "lead.h").alias("own")), "node")
     first = cut(roots.groupBy("root").agg(F.min("own").alias("first")))
     out = named.join(roots.join(first, "root").select("node", "first"), "node", "left")
-    first = F.coalesce("first", F.when(F.col("lead").isNotNull(), F.struct("lead.doc_id", "lead.h")))
-    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce(first["doc_id"], "doc_id"))
-    stays = F.col("doc_id").isNull() | F.coalesce((first["doc_id"] == F.col("doc_id")) & (first["h"] == F.col("h")), F.lit(True))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), "h", stays.alias("stays"))
+    return out.withColumn("first", F.coalesce("first", F.when(F.col("lead").isNotNull(), F.struct("lead.doc_id", "lead.h"))))
+
 
+def _component() -> Column:
+    return F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce(F.col("first.doc_id"), "doc_id"))
 
-def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, cluster_shingles: int = CLUSTER_SHINGLES) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id of the component)."""
-    return jaccard_rows(docs, words, num, den, cluster_shingles).select("doc_id", "n_shingles", "component_id")
+
+def jaccard_rows(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, cluster_shingles: int = CLUSTER_SHINGLES) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id of the component), h (text_hash) and stays, false for a text that is not the least (doc_id, h) of its component."""
+    named, nodes, sets = _clustered(docs, words, num, den, cluster_shingles)
+    found = cut(_compared(_whole(sets.where("blocks = 1")), num, den, False).where("a <> b"))
+    large = sets.where("blocks > 1")
+    if not large.isEmpty():
+        near = cut(_compared(_next_blocks(large), num, den, False).where("a <> b"))
+        found = found.unionByName(near).unionByName(_compared(_rest_blocks(large, near, cluster_shingles), num, den, False).where("a <> b"))
+    out = _first(named, nodes, found)
+    stays = F.col("doc_id").isNull() | F.coalesce((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.h") == F.col("h")), F.lit(True))
+    return out.select("doc_id", "n_shingles", _component().alias("component_id"), "h", stays.alias("stays"))
+
+
+def jaccard_join(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, cluster_shingles: int = CLUSTER_SHINGLES) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id and n_links, the number of other rows that it links with."""
+    named, nodes, sets = _clustered(docs, words, num, den, cluster_shingles)
+    found = cut(_compared(_whole(sets.where("blocks = 1")).unionByName(_all_blocks(sets.where("blocks > 1")).drop("own", "other")), num, den, True))
+    links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    out = _first(named, nodes, found.where("a <> b")).join(links, "node", "left")
+    n_links = F.when(F.col("doc_id").isNull() | F.col("lead").isNull(), F.lit(0)).otherwise(F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
+    return out.select("doc_id", "n_shingles", _component().alias("component_id"), n_links.cast("long").alias("n_links"))

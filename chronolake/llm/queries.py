@@ -75,7 +75,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
 def op7_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,14 +118,6 @@ def shingles(text, k):
     return frozenset() if not w else frozenset([tuple(w)]) if len(w) < k else frozenset(zip(*(w[i:] for i in range(k))))
 
 
-def brute_components(data, k, num, den):
-    sets = [(i, shingles(t, k)) for i, t, *_ in data]
-    live = [(i, s) for i, s in sets if i is not None and s]
-    edges = [(i, j) for n, (i, s) in enumerate(live) for j, t in live[:n] if len(s & t) * den >= num * len(s | t)]
-    root = components([*edges, *((i, i) for i, _ in sets if i is not None)])
-    return Counter((i, len(s), None if i is None else root[i] if s else i) for i, s in sets)
-
-
 def near_copies():
     """A family of near copies at all distances, beside the odd cases."""
     r = random.Random(6)
@@ -141,30 +133,23 @@ def near_copies():
     return out
 
 
-@pytest.mark.parametrize("k, num, den, size", [(3, 90, 100, jaccard.CLUSTER_SHINGLES), (5, 80, 100, 1500), (3, 90, 100, 900), (2, 60, 100, 3000)])
-def test_jaccard_components(spark, k, num, den, size):
-    data = [x for x in cases.rows(near_copies()) if x[0] not in (12, 16)] + [(16, cases.long_text(3000), "en", "a")]
-    got = jaccard.jaccard_components(cases.frame(spark, data), k, num, den, size).collect()
-    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(data, k, num, den)
-
-
-def test_a_doc_id_of_two_texts(spark):
-    got = jaccard.jaccard_components(cases.frame(spark)).where("doc_id = 12").collect()
-    assert len(got) == 2 and all(r["component_id"] == 12 for r in got)
-
-
 def brute_texts(data, k, num, den):
-    """Components of distinct sets, each text by itself, named by their smallest doc_id."""
+    """doc_id, shingles, smallest doc_id of the component and links of each row; texts are linked each by itself."""
     sets = [(i, shingles(t, k)) for i, t, *_ in data]
-    live = list({s for i, s in sets if i is not None and s})
+    rows = Counter(s for i, s in sets if i is not None and s)
+    live = list(rows)
     edges = [(a, b) for a, s in enumerate(live) for b, t in enumerate(live[:a]) if len(s & t) * den >= num * len(s | t)]
     root = components([*edges, *((a, a) for a in range(len(live)))])
     of = {s: root[a] for a, s in enumerate(live)}
+    links = {s: n - 1 for s, n in rows.items()}
+    for a, b in edges:
+        links[live[a]] += rows[live[b]]
+        links[live[b]] += rows[live[a]]
     least = {}
     for i, s in sets:
         if i is not None and s:
             least[of[s]] = min(i, least.get(of[s], i))
-    return Counter((i, len(s), None if i is None else least[of[s]] if s else i) for i, s in sets)
+    return Counter((i, len(s), None if i is None else least[of[s]] if s else i, links[s] if s and i is not None else 0) for i, s in sets)
 
 
 def shared_ids():
@@ -178,11 +163,37 @@ def shared_ids():
     return [x for x in cases.rows([*extra, *again]) if x[0] != 16] + [(i, t, "en", "a") for i, t in mixed]
 
 
-@pytest.mark.parametrize("k, num, den, size", [(3, 90, 100, jaccard.CLUSTER_SHINGLES), (3, 90, 100, 900)])
+def joined(spark, data, *args):
+    got = jaccard.jaccard_join(cases.frame(spark, data), *args).collect()
+    return Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in got)
+
+
+def without_links(found):
+    out = Counter()
+    for (*row, _), n in found.items():
+        out[tuple(row)] += n
+    return out
+
+
+@pytest.mark.parametrize("k, num, den, size", [(3, 90, 100, 900), (5, 80, 100, 1500), (2, 60, 100, jaccard.CLUSTER_SHINGLES)])
+def test_jaccard(spark, k, num, den, size):
+    data = [x for x in cases.rows(near_copies()) if x[0] != 16] + [(16, cases.long_text(3000), "en", "a")]
+    wanted = brute_texts(data, k, num, den)
+    assert joined(spark, data, k, num, den, size) == wanted
+    rows = jaccard.jaccard_rows(cases.frame(spark, data), k, num, den, size).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows) == without_links(wanted)
+
+
+@pytest.mark.parametrize("k, num, den, size", [(3, 90, 100, jaccard.CLUSTER_SHINGLES)])
 def test_texts_of_one_doc_id_are_linked_each_by_itself(spark, k, num, den, size):
     data = shared_ids()
-    got = jaccard.jaccard_components(cases.frame(spark, data), k, num, den, size).collect()
-    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_texts(data, k, num, den)
+    assert joined(spark, data, k, num, den, size) == brute_texts(data, k, num, den)
+
+
+def test_two_texts_of_a_doc_id_tie_two_others(spark):
+    far = [" ".join(f"{name}{i}" for i in range(60)) for name in "ab"]
+    data = [(5, far[0], "en", "a"), (5, far[1], "en", "a"), (1, far[0] + " end", "en", "a"), (2, far[1] + " end", "en", "a")]
+    assert joined(spark, data) == brute_texts(data, 3, 90, 100) == Counter({(5, 58, 1, 1): 1, (1, 59, 1, 1): 1, (5, 58, 2, 1): 1, (2, 59, 2, 1): 1})
 
 
 def test_one_text_of_a_component_stays(spark):
@@ -199,26 +210,34 @@ def test_one_text_of_a_component_stays(spark):
 
 def test_blocks_of_a_task_do_not_matter(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 700)
-    test_jaccard_components(spark, 3, 90, 100, 900)
+    data = cases.rows(near_copies()[:60])
+    assert joined(spark, data, 3, 90, 100, 900) == brute_texts(data, 3, 90, 100)
 
 
 @pytest.mark.parametrize("num, den", [(90, 100), (80, 100), (1, 2)])
-def test_prefixes_lose_no_pair(num, den):
-    """Sets that are similar enough share enough of their prefixes, whatever their sizes."""
+def test_dealing_loses_no_pair(num, den):
+    """Sets that are similar enough share as many of their parts as both ask for, whatever their sizes."""
     r = np.random.default_rng(3)
     tried = 0
+    ranges = jaccard.SizeRanges(num, den)
     for _ in range(600):
-        n = int(r.integers(1, 300))
+        n = int(r.integers(1, 300)) if r.random() < 0.7 else int(r.integers(1, 12))
         a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
         most = max(1, n * (den - num) // den)
         drop, add = int(r.integers(0, most + 1)), int(r.integers(0, most + 1))
         b = np.unique(np.concatenate([r.permutation(a)[drop:], r.integers(0, 2**63, add).astype(np.uint64)]))
-        if not len(b) or len(np.intersect1d(a, b)) * den < num * len(np.union1d(a, b)):
+        if not len(b) or np.array_equal(a, b) or len(np.intersect1d(a, b)) * den < num * len(np.union1d(a, b)):
             continue
         tried += 1
-        heads = [s[: jaccard.prefix_size(len(s), num, den)] for s in (a, b)]
-        least = min(-(-len(s) * num // den) for s in (a, b))
-        assert len(np.intersect1d(*heads)) >= 1 + least * (den - num) // den
+        part, of, name, need = jaccard._probes([1, 2], [a, b], ranges)
+        assert len(set(name.tolist())) == len(name)
+        tied = []
+        for i in range(len(name)):
+            for j in range(len(name)):
+                if name[i] >> 2 == 1 and name[j] >> 2 == 2:
+                    common = len(np.intersect1d(part[of == i], part[of == j]))
+                    tied.append(common >= need[i] and common >= need[j] and common > 0)
+        assert any(tied)
     assert tried > 50
 
 
@@ -227,10 +246,17 @@ def test_signature_tree_prunes_no_link():
     pool = r.integers(0, 2**63, 3000).astype(np.uint64)
     sets = [np.unique(r.choice(pool, int(r.integers(1, 120)))) for _ in range(150)]
     sets += [np.unique(np.concatenate([s[: -max(1, len(s) // 20)], s[:1]])) for s in sets[:60] if len(s) > 20]
-    labels = jaccard.link(sets, 80, 100)
+    labels, _ = jaccard.link(sets, 80, 100)
     edges = [(i, j) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) * 10 >= 8 * len(np.union1d(sets[i], sets[j]))]
     root = components([*edges, *((i, i) for i in range(len(sets)))])
-    assert labels.tolist() == [root[i] for i in range(len(sets))]
+    assert labels == [root[i] for i in range(len(sets))]
+    _, links = jaccard.link(sets, 80, 100, weights=[1] * len(sets))
+    assert links.tolist() == [sum(i in e for e in edges) for i in range(len(sets))]
+    _, links = jaccard.link(sets, 80, 100, left=70, weights=[1] * len(sets))
+    assert links.tolist() == [sum(i in e and (e[0] < 70) != (e[1] < 70) for e in edges) for i in range(len(sets))]
+    tree = jaccard.SignatureTree(sets)
+    tried = sum(len(a) for a, _ in jaccard.candidates(tree, tree, 80, 100))
+    assert len(edges) <= tried < len(sets) ** 2 / 20
 
 
 # --- repeated strings ------------------------------------------------------------------------
