@@ -51,16 +51,24 @@ def loose_encode(kind: str, body: bytes, level: int = 6) -> bytes:
     return zlib.compress(serialize(kind, body), level)
 
 
-def inflate(data: bytes) -> tuple[bytes, int]:
-    """(content, compressed bytes that were used)."""
-    unpack = zlib.decompressobj()
+def inflate(data: bytes, at: int = 0, end: int | None = None) -> tuple[bytes, int]:
+    """(content, compressed bytes that were used) of the stream that starts at a place of data.
+
+    The stream is fed in pieces that grow with it, so what comes behind it costs nothing.
+    """
+    view = memoryview(data)[at:end]
+    unpack, out, used, step = zlib.decompressobj(), [], 0, 1024
     try:
-        out = unpack.decompress(data) + unpack.flush()
+        while not unpack.eof and used < len(view):
+            piece = view[used : used + step]
+            out.append(unpack.decompress(piece))
+            used += len(piece)
+            step = min(2 * step, 1 << 20)
     except zlib.error as e:
         raise FormatError(f"inflate: {e}") from e
     if not unpack.eof:
         raise FormatError("inflate: the stream ends early")
-    return out, len(data) - len(unpack.unused_data)
+    return b"".join(out), used - len(unpack.unused_data)
 
 
 # --- trees ---------------------------------------------------------------------------------
@@ -294,7 +302,7 @@ def read_pack(pack: bytes, base: Callable[[str], tuple[str, bytes] | None] | Non
                 raise FormatError(f"pack: no base {name}")
         elif code not in PACK_TYPE:
             raise FormatError(f"pack: entry type {code}")
-        data, used = inflate(pack[at:end])
+        data, used = inflate(pack, at, end)
         if len(data) != size:
             raise FormatError("pack: an entry has another size than it says")
         at += used

@@ -1,9 +1,14 @@
-"""Unified line diffs after Myers' greedy O(ND) search."""
+"""Unified line diffs from a longest common subsequence, found in room that grows with the lines alone.
+
+A row of the table of common lengths is one integer, a bit per line of the new text: a bit is 0
+where the length grows. A line of the old text turns one row into the next by a few operations
+on whole integers. The old text is halved, the rows that both halves end with say where the
+new one is to be cut, and so on for the parts.
+"""
 
 from __future__ import annotations
 
-#: Lines on both sides together beyond which only the common prefix and suffix are found.
-LARGE = 20_000
+from itertools import accumulate
 
 
 def lines_of(text: str) -> list[str]:
@@ -11,60 +16,54 @@ def lines_of(text: str) -> list[str]:
     return text.split("\n") if text else []
 
 
-def _script(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
-    """(' ', '-' or '+', index in a, index in b) from begin to end."""
-    n, m = len(a), len(b)
-    if not n:
-        return [("+", 0, j) for j in range(m)]
-    if not m:
-        return [("-", i, 0) for i in range(n)]
-    if n + m > LARGE:
-        return _ends(a, b)
-    far = {1: 0}
-    history: list[dict[int, int]] = []
-    for d in range(n + m + 1):
-        history.append(dict(far))
-        for k in range(-d, d + 1, 2):
-            down = k == -d or (k != d and far.get(k - 1, -1) < far.get(k + 1, -1))
-            x = far[k + 1] if down else far[k - 1] + 1
-            y = x - k
-            while x < n and y < m and a[x] == b[y]:
-                x, y = x + 1, y + 1
-            far[k] = x
-            if x >= n and y >= m:
-                return _trace(history, n, m)
-    raise AssertionError("unreachable")
+def _lengths(a: list[str], b: list[str]) -> list[int]:
+    """The length of a longest common subsequence of a and each prefix of b, from the empty one on."""
+    places: dict[str, int] = dict.fromkeys(a, 0)
+    for j, line in enumerate(b):
+        if line in places:
+            places[line] |= 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for line in a:
+        if held := row & places[line]:
+            row = ((row + held) | (row - held)) & full
+    grows = f"{row:0{len(b)}b}"[::-1] if b else ""
+    return [0, *accumulate(c == "0" for c in grows)]
 
 
-def _trace(history: list[dict[int, int]], x: int, y: int) -> list[tuple[str, int, int]]:
-    out = []
-    for d in range(len(history) - 1, -1, -1):
-        far, k = history[d], x - y
-        down = k == -d or (k != d and far.get(k - 1, -1) < far.get(k + 1, -1))
-        came = k + 1 if down else k - 1
-        x0 = far.get(came, -1)
-        y0 = x0 - came
-        while x > x0 and y > y0:
-            x, y = x - 1, y - 1
-            out.append((" ", x, y))
-        if d:
-            if down:
-                y -= 1
-                out.append(("+", x, y))
-            else:
-                x -= 1
-                out.append(("-", x, y))
-    return out[::-1]
+def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """(index in a, index in b) of the lines of a longest common subsequence, from begin to end."""
+    out, open_ = [], [(0, len(a), 0, len(b))]
+    while open_:
+        top, end, left, right = open_.pop()
+        while top < end and left < right and a[top] == b[left]:
+            out.append((top, left))
+            top, left = top + 1, left + 1
+        while top < end and left < right and a[end - 1] == b[right - 1]:
+            end, right = end - 1, right - 1
+            out.append((end, right))
+        if top == end or left == right:
+            continue
+        if end - top == 1:
+            out += [(top, j) for j in range(left, right) if b[j] == a[top]][:1]
+            continue
+        half, part = (top + end) // 2, b[left:right]
+        before, after = _lengths(a[top:half], part), _lengths(a[half:end][::-1], part[::-1])
+        total = [x + y for x, y in zip(before, reversed(after))]
+        cut = left + total.index(max(total))
+        open_ += [(top, half, left, cut), (half, end, cut, right)]
+    return sorted(out)
 
 
-def _ends(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
-    least = min(len(a), len(b))
-    head = next((i for i in range(least) if a[i] != b[i]), least)
-    tail = next((i for i in range(least - head) if a[-1 - i] != b[-1 - i]), least - head)
-    out = [(" ", i, i) for i in range(head)]
-    out += [("-", i, head) for i in range(head, len(a) - tail)]
-    out += [("+", len(a) - tail, j) for j in range(head, len(b) - tail)]
-    return out + [(" ", len(a) - i, len(b) - i) for i in range(tail, 0, -1)]
+def _script(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
+    """(' ', '-' or '+', index in a, index in b) from begin to end: a shortest script, lines that go before those that come."""
+    out, i, j = [], 0, 0
+    for x, y in [*_common(a, b), (len(a), len(b))]:
+        out += [("-", k, j) for k in range(i, x)] + [("+", x, k) for k in range(j, y)]
+        if x < len(a) and y < len(b):
+            out.append((" ", x, y))
+        i, j = x + 1, y + 1
+    return out
 
 
 def unified(old: str, new: str, old_path: str, new_path: str, context: int = 3) -> str:

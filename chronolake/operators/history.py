@@ -1,13 +1,14 @@
 """Walks over commit graphs and per-line blame, for all repositories at once.
 
 Walks work on parents (repo, sha, ord, parent). Repositories of ordinary size are handed to
-one task each, sorted, and walked in memory there; in log_walk, those of more than `large`
-edges are walked level by level with joins. A max_depth of None is no limit.
+one task each, sorted, and walked in memory there; in log_walk and merge_base, those of more than
+`large` edges are walked level by level with joins. A max_depth of None is no limit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -165,56 +166,88 @@ def revwalk(parents: DataFrame, commits: DataFrame, heads: DataFrame, limit: int
     return _walked(parents, rows, _topo_kernel(limit), "repo string, sha string, pos long", ["repo", "sha", "pos"], [pa.string(), pa.string(), pa.int64()])
 
 
-def _base_kernel(max_depth: int, best: bool) -> Callable:
-    def first(parents: dict[str, list[str]], a: str, b: str) -> str | None:
-        """The first meeting of two level walks that take turns, a before b."""
-        if a == b:
-            return a
-        seen, frontier = [{a}, {b}], [[a], [b]]
-        for _ in range(max_depth):
-            if not frontier[0] and not frontier[1]:
-                return None
-            for side in (0, 1):
-                nxt = []
-                for s in frontier[side]:
-                    for p in parents.get(s, ()):
-                        if p in seen[1 - side]:
-                            return p
-                        if p not in seen[side]:
-                            seen[side].add(p)
-                            nxt.append(p)
-                frontier[side] = nxt
-        return None
-
-    def above(parents: dict[str, list[str]], start: str) -> dict[str, int]:
-        out, level, depth = {start: 0}, [start], 0
-        while level and depth < max_depth:
-            depth += 1
-            level = [p for s in level for p in parents.get(s, ()) if p not in out and not out.update({p: depth})]
-        return out
-
-    def lowest(parents: dict[str, list[str]], a: str, b: str) -> str | None:
-        """A common ancestor that no other one descends from; the nearest of them."""
-        up, other = above(parents, a), above(parents, b)
-        common = [s for s in up if s in other]
-        dominated = {p for s in common for p in above(parents, s) if p != s}
-        return min((s for s in common if s not in dominated), key=lambda s: (up[s] + other[s], s), default=None)
+def _reach_kernel(parents: dict[str, list[str]], max_depth: int | None) -> Callable[[str], dict[str, tuple[int, int]]]:
+    """start -> {sha: (level, order of discovery)}; commits that parents does not hold are reached, but lead nowhere."""
+
+    @lru_cache(maxsize=64)
+    def reach(start: str) -> dict[str, tuple[int, int]]:
+        found, level = {start: (0, 0)}, [start]
+        while level and (max_depth is None or found[level[0]][0] < max_depth):
+            depth = found[level[0]][0] + 1
+            level = [p for p in dict.fromkeys(p for s in level for p in parents.get(s, ())) if p not in found]
+            found |= {p: (depth, i) for i, p in enumerate(level)}
+        return found
+
+    return reach
+
+
+def _base_kernel(max_depth: int | None, best: bool) -> Callable:
+    def meeting(mine: tuple[int, int], other: tuple[int, int]) -> tuple:
+        """When walks that go a level at a time, in turn, meet at a commit: the later level, whose turn it is, and the order in it."""
+        return (mine[0], 0, mine[1]) if mine[0] > other[0] else (other[0], 1, other[1])
 
     def kernel(parents: dict[str, list[str]], pairs: list[tuple]) -> Iterator[tuple]:
+        reach = _reach_kernel(parents, max_depth)
         for a, _, b in pairs:
-            yield a, b, (lowest if best else first)(parents, a, b)
+            up, other = reach(a), reach(b)
+            common = up.keys() & other.keys()
+            if best:  # whatever a common commit descends from is common too
+                common -= {p for s in common for p in parents.get(s, ())}
+                yield a, b, min(common, key=lambda s: (up[s][0] + other[s][0], s), default=None)
+            else:
+                yield a, b, min(common, key=lambda s: meeting(up[s], other[s]), default=None)
 
     return kernel
 
 
-def merge_base(parents: DataFrame, pairs: DataFrame, max_depth: int = 1000, best: bool = False) -> DataFrame:
+def _reach_levels(parents: DataFrame, starts: DataFrame, max_depth: int | None) -> DataFrame:
+    """(repo, start, sha, depth, pos) of all that starts (repo, start) reach: a join per level, visited commits taken out by anti-joins."""
+    edges = parents.where("parent is not null").select("repo", "sha", "ord", "parent")
+    key, zero = ["repo", "start", "sha"], F.lit(0).cast("long")
+    found = level = cut(starts.distinct().withColumn("sha", F.col("start")).withColumn("depth", zero).withColumn("pos", zero))
+    depth = 0
+    while (max_depth is None or depth < max_depth) and not level.isEmpty():
+        depth += 1
+        step = level.join(edges, ["repo", "sha"]).groupBy("repo", "start", F.col("parent").alias("sha")).agg(F.min(F.struct("pos", "ord")).alias("at"))
+        order = Window.partitionBy("repo", "start").orderBy("at")
+        new = step.join(found, key, "left_anti").select(*key, F.lit(depth).cast("long").alias("depth"), (F.row_number().over(order) - 1).cast("long").alias("pos"))
+        level = cut(new)
+        found = found.unionByName(level)
+    return found
+
+
+def _base_levels(parents: DataFrame, pairs: DataFrame, max_depth: int | None, best: bool) -> DataFrame:
+    """merge_base by joins: the least (level, side, order of discovery) of what both sides reach."""
+    pairs = cut(pairs.select("repo", "a", "b").distinct())
+    reach = _reach_levels(parents, pairs.select("repo", F.explode(F.array("a", "b")).alias("start")), max_depth)
+    side = lambda name: reach.select("repo", F.col("start").alias(name), "sha", F.struct("depth", "pos").alias(f"of_{name}"))
+    common = pairs.join(side("a"), ["repo", "a"]).join(side("b"), ["repo", "b", "sha"])
+    if best:
+        common = cut(common)
+        above = common.join(parents.select("repo", "sha", "parent"), ["repo", "sha"]).select("repo", "a", "b", F.col("parent").alias("sha"))
+        common = common.join(above, ["repo", "a", "b", "sha"], "left_anti")
+        order = F.struct(F.col("of_a.depth") + F.col("of_b.depth"), "sha")
+    else:
+        late = F.col("of_a.depth") > F.col("of_b.depth")
+        order = F.when(late, F.struct(F.col("of_a.depth"), F.lit(0).alias("side"), F.col("of_a.pos"))).otherwise(F.struct(F.col("of_b.depth"), F.lit(1).alias("side"), F.col("of_b.pos")))
+    base = common.groupBy("repo", "a", "b").agg(F.min_by("sha", order).alias("base"))
+    return pairs.join(base, ["repo", "a", "b"], "left")
+
+
+def merge_base(parents: DataFrame, pairs: DataFrame, max_depth: int | None = 1000, best: bool = False, large: int = LARGE) -> DataFrame:
     """(repo, a, b, base) of pairs (repo, a, b); null where the two never meet.
 
     The default is the first meeting of both walks; best asks for a common ancestor that no
-    other one descends from.
+    other one descends from. Pairs of large repositories are answered once each.
     """
-    rows = pairs.select("repo", F.lit(1).alias("kind"), F.col("a"), F.lit(0).cast("long").alias("n"), F.col("b").alias("p"))
-    return _walked(parents, rows, _base_kernel(max_depth, best), "repo string, a string, b string, base string", ["repo", "a", "b", "base"], [pa.string()] * 4)
+    big = parents.groupBy("repo").agg(F.count(F.lit(1)).alias("edges")).where(F.col("edges") > large).select("repo")
+    many = not big.isEmpty()
+    small, few = (x.join(big, "repo", "left_anti") if many else x for x in (parents, pairs))
+    rows = few.select("repo", F.lit(1).alias("kind"), F.col("a"), F.lit(0).cast("long").alias("n"), F.col("b").alias("p"))
+    out = _walked(small, rows, _base_kernel(max_depth, best), "repo string, a string, b string, base string", ["repo", "a", "b", "base"], [pa.string()] * 4)
+    if many:
+        out = out.unionByName(_base_levels(parents.join(big, "repo", "left_semi"), pairs.join(big, "repo", "left_semi"), max_depth, best))
+    return out
 
 
 def rev_parse(parents: DataFrame, refs: DataFrame, expression: str) -> DataFrame:
@@ -259,11 +292,13 @@ def blame(versions: DataFrame, max_depth: int | None = 1000) -> DataFrame:
     w = Window.partitionBy("key").orderBy("depth")
     whole = near.withColumn("n", F.row_number().over(w) - 1).withColumn("gone", F.max(F.col("content").isNull().cast("int")).over(w)).where("gone = 0 and depth = n")
     lined = whole.select("key", "depth", C.split_lines(F.col("content"), "blame").alias("lines"))
-    held = lined.select("key", "depth", F.explode(F.array_distinct("lines")).alias("line"))
-    order = Window.partitionBy("key", "line").orderBy("depth")
-    run = held.withColumn("n", F.row_number().over(order) - 1).where("depth = n").groupBy("key", "line").agg(F.max("depth").cast("long").alias("depth"))
-    start = lined.where("depth = 0").select("key", F.posexplode("lines").alias("i", "line")).select("key", (F.col("i") + 1).cast("long").alias("line_number"), "line")
-    return start.join(run, ["key", "line"]).select("key", "line_number", "line", "depth")
+    # lines of older versions travel as digests; the text comes from the newest version alone
+    digest = lambda line: F.unhex(F.md5(line))
+    held = lined.select("key", "depth", F.explode(F.array_distinct(F.transform("lines", digest))).alias("digest"))
+    order = Window.partitionBy("key", "digest").orderBy("depth")
+    run = held.withColumn("n", F.row_number().over(order) - 1).where("depth = n").groupBy("key", "digest").agg(F.max("depth").cast("long").alias("depth"))
+    start = lined.where("depth = 0").select("key", F.posexplode("lines").alias("i", "line")).select("key", (F.col("i") + 1).cast("long").alias("line_number"), "line", digest(F.col("line")).alias("digest"))
+    return start.join(run, ["key", "digest"]).select("key", "line_number", "line", "depth")
 
 
 def blame_commits(versions: DataFrame, max_depth: int | None = 1000) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.udfs import patch
 
-MAX_CONTEXT = 10
 
 
 def grep(blobs: DataFrame, pattern: str, context: int = 0) -> DataFrame:
@@ -19,7 +18,7 @@ def grep(blobs: DataFrame, pattern: str, context: int = 0) -> DataFrame:
     a match leave before any line is exploded. A line is matched by itself, so the multi-line
     flag is not needed (with it, ^ would not match an empty line in this regex dialect).
     """
-    c = max(0, min(MAX_CONTEXT, context))
+    c = max(0, context)
     lined = blobs.where(~C.is_binary(F.col("content"))).select("path", "sha", C.split_lines(C.text_of(F.col("content")), "grep").alias("lines"))
     hits = F.transform("lines", lambda x: x.rlike(pattern))
     found = lined.withColumn("hits", hits).where(F.exists("hits", lambda h: h))

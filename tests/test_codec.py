@@ -164,3 +164,28 @@ def test_inflate_reports_what_it_used():
 
 def test_auth():
     assert c.auth_header("t") == "Basic eDp0"
+
+
+def test_reading_a_pack_takes_time_in_proportion_to_it():
+    import random
+    import time
+
+    r = random.Random(4)
+
+    def seconds(n):
+        pack = c.write_pack([("blob", r.randbytes(4000)) for _ in range(n)], 0)
+        began = time.perf_counter()
+        assert sum(1 for _ in c.read_pack(pack)) == n
+        return time.perf_counter() - began
+
+    few = min(seconds(1000) for _ in range(3))
+    assert min(seconds(8000) for _ in range(2)) < 16 * few
+
+
+def test_inflate_inside_other_bytes():
+    for size in (0, 1, 5000, 3_000_000):
+        body = bytes(range(256)) * (size // 256) + b"x" * (size % 256)
+        packed = zlib.compress(body)
+        assert c.inflate(b"head" + packed + b"tail" * 1000, 4) == (body, len(packed))
+        with pytest.raises(c.FormatError):
+            c.inflate(packed, 0, len(packed) - 1)

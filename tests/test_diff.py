@@ -59,8 +59,19 @@ def test_hunks_split_and_merge():
     assert diff.unified(old, far, "p", "p").count("@@ -") == 2
 
 
-def test_large_files_fall_back_to_ends():
-    old = "\n".join(f"a{i}" for i in range(12_000))
-    new = old.replace("a500\n", "b\n")
-    patch = diff.unified(old, new, "p", "p")
-    assert apply_patch(old, patch) == new and len(patch) < 500
+def test_large_files_have_a_shortest_script_too():
+    old = [f"a{i}" for i in range(12_000)]
+    new = old[:500] + ["b"] + old[501:9000] + old[9100:] + ["c"]
+    patch = diff.unified("\n".join(old), "\n".join(new), "p", "p")
+    assert apply_patch("\n".join(old), patch) == "\n".join(new)
+    assert sum(op != " " for op, _, _ in diff._script(old, new)) == 2 + 100 + 1
+
+
+def test_unlike_files_take_little_room():
+    import tracemalloc
+
+    old, new = ([f"{name}{i}" for i in range(6_000)] for name in "ab")
+    tracemalloc.start()
+    script = diff._script(old, new)
+    assert len(script) == 12_000 and tracemalloc.get_traced_memory()[1] < 30e6
+    tracemalloc.stop()

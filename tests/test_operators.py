@@ -63,6 +63,35 @@ def test_first_meeting_is_not_always_the_best(spark):
     assert history.merge_base(graph(spark, DAG), spark.createDataFrame([("r", "C", "D")], "repo string, a string, b string"), max_depth=0).first()["base"] is None
 
 
+def walk_in_turn(parents, a, b, depth):
+    """The first meeting of two walks that go level by level in turn, step by step."""
+    if a == b:
+        return a
+    known, fronts = {"a": [a], "b": [b]}, {"a": [a], "b": [b]}
+    for _ in range(depth):
+        for me, you in (("a", "b"), ("b", "a")):
+            found = list(dict.fromkeys(p for s in fronts[me] for p in parents.get(s, []) if p not in known[me]))
+            if met := [p for p in found if p in known[you]]:
+                return met[0]
+            known[me] += found
+            fronts[me] = found
+    return None
+
+
+@pytest.mark.parametrize("depth", [1000, 2])
+def test_merge_base_by_joins(spark, depth):
+    import random
+
+    random.seed(depth)
+    edges = {f"c{i}": [f"c{j}" for j in random.sample(range(i), min(i, random.choice([0, 1, 1, 2, 3])))] for i in range(40)}
+    pairs = [("r", f"c{random.randrange(40)}", f"c{random.randrange(40)}") for _ in range(60)]
+    rows = spark.createDataFrame(pairs, "repo string, a string, b string")
+    bases = lambda **k: {(r["a"], r["b"]): r["base"] for r in history.merge_base(graph(spark, edges), rows, depth, **k).collect()}
+    want = {(a, b): walk_in_turn(edges, a, b, depth) for _, a, b in pairs}
+    assert bases() == want and bases(large=2) == want
+    assert bases(best=True) == bases(best=True, large=2)
+
+
 def test_rev_parse(spark):
     refs = spark.createDataFrame([("r", "HEAD", "M")], "repo string, name string, sha string")
     at = lambda x: history.rev_parse(graph(spark, DAG), refs, x).first()["sha"]
