@@ -47,7 +47,7 @@ from .graph import Forest, components
 BLOCK_TOKENS = 2_000_000
 CACHE_WORDS = 400_000
 #: Shingles of a cluster that one side of a task compares; larger clusters are split into blocks.
-CLUSTER_SHINGLES = 60_000
+CLUSTER_SHINGLES = 40_000
 #: Bits of a set's signature, children of a tree node, and node pairs that are looked at at a time.
 BITS, FAN, PAIRS = 4096, 4, 20_000
 #: A size range goes from L to about L / t**RANGE.
@@ -224,7 +224,8 @@ def _signatures(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 def _ties(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """(a, b): ties between the keys of nodes that share enough parts with others to have a partner."""
     rows = _signatures(docs, words, num, den)
-    where = Window.partitionBy(F.coalesce("part", F.xxhash64("probe")))  # rows without a part go anywhere
+    rows = rows.withColumn("at", F.coalesce("part", F.xxhash64("probe")))  # rows without a part go anywhere
+    where = Window.partitionBy("at")
     holder = F.when(F.col("part").isNotNull(), F.col("probe"))
     shared = rows.withColumn("one", F.min(holder).over(where)).withColumn("other", F.max(holder).over(where)).where("part is null or found > 0 or one < other")
     shared = cut(shared.select("part", "probe", "need", F.greatest("found", F.lit(1)).alias("found"), "met"))
