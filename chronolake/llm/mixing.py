@@ -67,23 +67,31 @@ def uniform(*parts) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
-def poisson(rate: Column, u: Column, terms: int) -> Column:
-    """The smallest k whose cumulative probability exceeds u, for k below terms."""
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("k"))
+def cumulative(rate: Column, terms: int) -> Column:
+    """The cumulative probabilities of 0, 1, .. terms - 1 repetitions."""
+    start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("c"))
 
     def step(s, i):
         p = s["p"] * rate / i
-        return F.when(u < s["c"], s).otherwise(F.struct(p.alias("p"), (s["c"] + p).alias("c"), i.alias("k")))
+        return F.struct(p.alias("p"), F.concat(s["c"], F.array(F.element_at(s["c"], -1) + p)).alias("c"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step, lambda s: s["k"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(terms - 1)), start, step, lambda s: s["c"])
+
+
+def poisson(cdf: Column, u: Column, terms: int) -> Column:
+    """The smallest k whose cumulative probability exceeds u; terms where none does. cdf may lack equal ones at its end."""
+    below = F.size(F.filter(cdf, lambda c: c <= u))
+    return F.when(below < F.size(cdf), below).otherwise(F.lit(terms))
 
 
 def mix(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
-    """docs with each row repeated, plus copy (from 0), rate and shuffle_key, in the order of shuffle_key."""
+    """docs with each row repeated, plus copy (from 0), rate and shuffle_key; dealt out by shuffle_key, and in its order within each partition."""
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    r = rates(docs, mix).select(F.col("bucket").alias("__bucket"), F.col("rate").alias("__rate"))
-    rated = docs.withColumn("__bucket", _bucket(mix)).alias("d").join(F.broadcast(r.alias("r")), F.col("d.__bucket").eqNullSafe(F.col("r.__bucket"))).select(*[F.col(f"d.`{c}`") for c in docs.columns], "__rate")
-    drawn = rated.withColumn("__count", poisson(F.col("__rate"), uniform(F.lit(mix.seed), ident), mix.terms())).where("__count > 0")
+    # the probabilities no longer grow after some terms; a row need not look at these
+    cdf = F.array_distinct(cumulative(F.col("rate"), mix.terms()))
+    r = rates(docs, mix).select(F.col("bucket").alias("__bucket"), F.col("rate").alias("__rate"), cdf.alias("__cdf"))
+    rated = docs.withColumn("__bucket", _bucket(mix)).alias("d").join(F.broadcast(r.alias("r")), F.col("d.__bucket").eqNullSafe(F.col("r.__bucket"))).select(*[F.col(f"d.`{c}`") for c in docs.columns], "__rate", "__cdf")
+    drawn = rated.withColumn("__count", poisson(F.col("__cdf"), uniform(F.lit(mix.seed), ident), mix.terms())).drop("__cdf").where("__count > 0")
     copies = drawn.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__count") - 1)))
     keyed = copies.withColumn("__key", F.md5(F.concat_ws("|", F.lit(mix.seed), F.lit("order"), ident, F.col("__copy"))))
     dealt = keyed.repartition("__key").sortWithinPartitions("__key")
