@@ -9,7 +9,8 @@ stored entry (the full 256-bit content digest with its payload), so that
 
 Plan: one pass over the texts makes digests (no text is shuffled). Each map task folds its
 digests through an index of its own, so a group of copies leaves a task as one row however
-large it is; the rows meet by digest, where the same index merges them. The result is joined
+large it is; the rows meet by digest, sorted, where the same index merges them a stretch of digests
+at a time. The result is joined
 back to the digests, which AQE may split where one digest is hot.
 
 Cases: null text counts as empty (all such rows are copies of each other); a null doc_id is
@@ -30,7 +31,7 @@ from .common import cut, utf8
 
 SLOTS = 4
 MAX_KICKS = 200
-#: A map task hands on what its index holds after so many live digests.
+#: A task hands on what its index holds after so many live digests.
 COMBINE_KEYS = 200_000
 
 _GROUP = "digest binary, keep_id long, keep_row long, group_size long"
@@ -82,7 +83,9 @@ class CuckooIndex:
         return self._slot(key) >= 0
 
     def insert(self, key: bytes, value) -> int:
-        """Adds a digest that is not live yet; returns its entry."""
+        """Adds a digest that is not live yet (else an error: copies would fill both buckets); returns its entry."""
+        if key in self:
+            raise ValueError("the digest is live already")
         if self.free:
             at = self.free.pop()
             self.keys[at], self.values[at] = key, value
@@ -145,7 +148,7 @@ def _best(a: tuple, b: tuple) -> tuple:
     return a if rank(a) >= rank(b) else b
 
 
-def _fold(rows: Iterable[tuple], limit: int | None) -> Iterator[pa.RecordBatch]:
+def _fold(rows: Iterable[tuple], limit: int) -> Iterator[pa.RecordBatch]:
     """(digest, doc_id, row, count) folded through an index; handed on at limit live digests."""
     index = CuckooIndex()
 
@@ -157,7 +160,7 @@ def _fold(rows: Iterable[tuple], limit: int | None) -> Iterator[pa.RecordBatch]:
     for digest, doc_id, row, n in rows:
         at = index.find(digest)
         if at < 0:
-            if limit and len(index) >= limit:
+            if len(index) >= limit:
                 yield from out()
                 index = CuckooIndex()
             index.insert(digest, (doc_id, row, n))
@@ -172,7 +175,8 @@ def _combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _fold((x for b in batches for x in zip(*(c.to_pylist() for c in b.columns))), None)
+    """Rows sorted by digest: what an index holds is whole when a new digest finds it full."""
+    return _fold((x for b in batches for x in zip(*(c.to_pylist() for c in b.columns))), COMBINE_KEYS)
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -184,7 +188,7 @@ def digests(docs: DataFrame) -> DataFrame:
 def groups(digested: DataFrame) -> DataFrame:
     """One row per distinct digest: (digest, keep_id, keep_row, group_size)."""
     parts = digested.mapInArrow(_combine, _GROUP)
-    return parts.repartition("digest").mapInArrow(_merge, _GROUP)
+    return parts.repartition("digest").sortWithinPartitions("digest").mapInArrow(_merge, _GROUP)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -199,8 +203,9 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     kept = groups(digests(docs)).select(F.col("keep_id").alias("__id"), F.lower(F.hex("digest")).alias("__digest")).select(key(F.col("__digest")).alias("__key"))
     # A-Z alone are lowered, as in the digests
     own = F.sha2(F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)
-    hit = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__key", key(own)).join(kept, "__key")
-    first = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+    # rows are numbered as in digests, so that of equal ones the same stays
+    hit = docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__id", F.col("doc_id").cast("long")).withColumn("__key", key(own)).join(kept, "__key")
+    first = F.row_number().over(Window.partitionBy("__key").orderBy("__row"))
     return hit.withColumn("__n", first).where("__n = 1").select(*[docs[c] for c in docs.columns])
 
 
@@ -210,7 +215,11 @@ def _state_change(key, index_rows, changes):
 
     index = CuckooIndex()
     for k, n in zip(index_rows["digest"], index_rows["copies"]):
-        index.insert(bytes(k), int(n))
+        at = index.find(bytes(k))
+        if at < 0:
+            index.insert(bytes(k), int(n))
+        else:
+            index.values[at] += int(n)
     for k, sign in sorted(((bytes(k), int(s)) for k, s in zip(changes["digest"], changes["change"])), key=lambda x: x[1]):
         at = index.find(k)
         if sign < 0 and at >= 0:
@@ -230,7 +239,8 @@ def update_index(index: DataFrame | None, inserted: DataFrame, deleted: DataFram
     """Live digests (bucket, digest, copies) after documents come and go.
 
     inserted, deleted: columns digest. Changes are summed per digest before they are shuffled;
-    buckets must grow with the number of live digests, as a bucket is handled by one task.
+    buckets must grow with the number of live digests, as a bucket is handled by one task. A digest
+    that index holds several times counts as one, with the sum of its copies.
     """
     changes = inserted.select("digest", F.lit(1).alias("change"))
     if deleted is not None:

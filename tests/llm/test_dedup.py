@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronolake.llm import exact_dedup, graph, jaccard, repeats
 
@@ -319,3 +320,25 @@ def test_length_bounds(spark):
     for bad in (20, 600):
         with pytest.raises(ValueError):
             repeats.remove_repeats(cases.empty(spark), bad)
+
+
+def test_a_live_digest_is_not_inserted_again():
+    index = exact_dedup.CuckooIndex(2)
+    index.insert(b"k" * 32, 1)
+    with pytest.raises(ValueError):
+        index.insert(b"k" * 32, 2)
+    assert len(index) == 1 and index.resizes == 0
+
+
+def test_an_index_that_names_a_digest_twice(spark):
+    key = bytes(range(32))
+    old = spark.createDataFrame([(5, key, 1)] * 9, "bucket long, digest binary, copies long").withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(16)))
+    more = spark.createDataFrame([(key,)], "digest binary")
+    assert [(bytes(r["digest"]), r["copies"]) for r in exact_dedup.update_index(old, more, buckets=16).collect()] == [(key, 10)]
+
+
+def test_merging_a_stretch_of_digests_at_a_time(spark, monkeypatch):
+    data = cases.rows()
+    whole = sorted(exact_dedup.exact_dedup(cases.frame(spark, data)).collect(), key=repr)
+    monkeypatch.setattr(exact_dedup, "COMBINE_KEYS", 3)
+    assert sorted(exact_dedup.exact_dedup(cases.frame(spark, data)).collect(), key=repr) == whole
