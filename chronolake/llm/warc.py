@@ -2,8 +2,9 @@
 
 Writing: pages meet the smallest page_id of their payload digest (the minimum is combined
 map-side; AQE may split a hot payload), then each task streams its rows into gzipped WARC
-files in the shared folder. A file appears under its final name only when it is whole, and a
-rerun task replaces it. Each task hands on one run: its captures, sorted by URL key, time
+files in the shared folder. A file appears under its final name only when it is whole, and each
+attempt of a task has names of its own: of a rerun or speculative task, only the files of the attempt
+whose captures were committed are ever read, and no file is replaced. Each task hands on one run: its captures, sorted by URL key, time
 and page.
 
 Index merge: runs are dealt out by ranges of (URL key, time, page), so one URL with very many
@@ -112,7 +113,7 @@ def _writer(folder: str) -> Callable:
             for page_id, url, payload, first in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "first_id"))):
                 response = first is None or first == page_id
                 if out is None:
-                    name, at = f"part-{part:06d}-{files:03d}.warc.gz", 0
+                    name, at = f"part-{part:06d}-{attempt}-{files:03d}.warc.gz", 0
                     out = store.open_output_stream(f"{root}/.{attempt}-{name}", compression=None)
                     files += 1
                 packer = zlib.compressobj(4, zlib.DEFLATED, 31)
@@ -273,4 +274,7 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     captures = write(pages, least_bytes=least_bytes)
     index = histories(captures).select("url_key", "time", "archive", "offset")
     # both sides grow with the pages: never a broadcast
-    return index.hint("merge").join(read(captures), ["archive", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "time")
+    met = index.hint("merge").join(read(captures), ["archive", "offset"], "left")
+    missed = F.raise_error(F.concat(F.lit("no record at "), "archive", F.lit(" "), F.col("offset").cast("string"))).cast("string")
+    digest = F.coalesce("payload_digest", missed).alias("payload_digest")
+    return met.select("page_id", "payload_bytes", digest, "record_type", "refers_to", "url_key", "time")
