@@ -2,9 +2,10 @@
 
 Statistics of every whole text feed two base rules (too few words, too much repetition).
 The rest is judged by a minimum covariance determinant (MCD) estimate for each language and
-source: a robust start (medians and MADs), then concentration steps that re-estimate mean
-and covariance from the share COVER of rows nearest by Mahalanobis distance. Rows beyond
-CUTOFF are rejected.
+source. From each of several starts (medians and MADs, all rows, two hashed quarters of the rows),
+concentration steps re-estimate mean and covariance from the share COVER of rows nearest by
+Mahalanobis distance, until the determinant falls for none; the estimate of the lowest determinant
+is a group's. Rows beyond CUTOFF are rejected.
 
 A step is two aggregates that combine map-side: a histogram of distances per group gives the
 distance that COVER of the rows do not exceed, then counts, sums and products of the rows
@@ -30,7 +31,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 NOT_SYMBOL = r"[^#*$%&|<>]+"
 WINDOW = 8
 COVER = 0.75
-STEPS = 3
+#: Steps go on while a determinant's logarithm falls by more than this: distances are known to a bin only.
+GAIN = 1e-2
 MIN_ROWS = 60
 #: Bins per unit of a statistic, and per e-fold of a squared distance.
 BINS, DISTANCE_BINS = 500.0, 50.0
@@ -155,14 +157,15 @@ def _moments(rows: DataFrame) -> DataFrame:
 
 
 def _factor(moments: DataFrame) -> DataFrame:
-    """(grp, m0.., l00..): the Cholesky factor of each covariance."""
+    """(grp, m0.., l00.., logdet): the Cholesky factor of each covariance, and the logarithm of its determinant."""
     out = moments
     for i, j in PAIRS:
         rest = F.col(f"c{i}{j}")
         for k in range(j):
             rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
         out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOOR[i] ** 2 * 0.01))) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.select("grp", *(f"m{i}" for i in range(len(X))), *(f"l{i}{j}" for i, j in PAIRS))
+    logdet = sum((2 * F.log(f"l{i}{i}") for i in range(1, len(X))), 2 * F.log("l00"))
+    return out.select("grp", *(f"m{i}" for i in range(len(X))), *(f"l{i}{j}" for i, j in PAIRS), logdet.alias("logdet"))
 
 
 def _distance(rows: DataFrame, factor: DataFrame) -> DataFrame:
@@ -184,17 +187,37 @@ def _nearest(rows: DataFrame) -> DataFrame:
     return _meet(rows, edge, ["grp"]).where(bin_ <= F.col("edge"))
 
 
+def _least(estimates: DataFrame) -> DataFrame:
+    """The estimate of the lowest determinant of each group."""
+    own = [c for c in estimates.columns if c != "grp"]
+    return estimates.groupBy("grp").agg(F.min_by(F.struct(*own), "logdet").alias("e")).select("grp", *(f"e.{c}" for c in own))
+
+
+def estimates(fit: DataFrame) -> DataFrame:
+    """(grp, m0.., l00.., logdet) of rows (grp, salt, x0..): the MCD estimate of each group."""
+    first = _meet(fit, _start(fit), ["grp"])
+    z = [(F.col(x) - F.col(f"m{i}")) / F.col(f"s{i}") for i, x in enumerate(X)]
+    near = _nearest(first.select("grp", "salt", *X, sum((v * v for v in z[1:]), z[0] * z[0]).alias("d2"))).select("grp", "salt", *X)
+    starts = (near, fit, fit.where(F.col("salt") < SALTS // 4), fit.where(F.col("salt") >= SALTS - SALTS // 4))
+    # each start of a group is a group of its own until the best is chosen
+    named = lambda rows, k: rows.withColumn("grp", F.concat_ws("|", F.lit(k), "grp"))
+    begin = named(starts[0], 0)
+    for k in range(1, len(starts)):
+        begin = begin.unionByName(named(starts[k], k).select(*begin.columns))
+    runs = fit.withColumn("start", F.explode(F.array(*map(F.lit, range(len(starts)))))).withColumn("grp", F.concat_ws("|", "start", "grp")).drop("start")
+    now = best = cut(_factor(_moments(begin)))
+    while True:
+        now = cut(_factor(_moments(_nearest(_distance(runs, now)))))
+        gain = now.join(best.select("grp", F.col("logdet").alias("was")), "grp").agg(F.max(F.col("was") - F.col("logdet"))).first()[0]
+        best = cut(_least(best.unionByName(now)))
+        if gain is None or gain <= GAIN:
+            return _least(best.withColumn("grp", F.expr("substring(grp, 3)")))
+
+
 def quality_rules(docs: DataFrame) -> DataFrame:
     """One row per row of docs: statistics, base_failed, kept and d2 (the method's squared distance)."""
     rows = cut(_grouped(cut(_vector(statistics(docs)))).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")))
     fit = rows.where("not base_failed").select(F.explode("fits").alias("grp"), "salt", *X)
-    start = _start(fit)
-    first = _meet(fit, start, ["grp"])
-    z = [(F.col(x) - F.col(f"m{i}")) / F.col(f"s{i}") for i, x in enumerate(X)]
-    near = _nearest(first.select("grp", "salt", *X, sum((v * v for v in z[1:]), z[0] * z[0]).alias("d2")))
-    estimate = cut(_factor(_moments(near)))
-    for _ in range(STEPS):
-        estimate = cut(_factor(_moments(_nearest(_distance(fit, estimate)))))
-    judged = _distance(rows.drop("fits"), estimate)
+    judged = _distance(rows.drop("fits"), cut(estimates(fit)))
     kept = ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= CUTOFF)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "d2")
