@@ -191,14 +191,14 @@ def _probes(keys: list[int], sets: list[np.ndarray], ranges: SizeRanges) -> tupl
 
 
 def _signatures(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(part, probe, need, found, met): per block of a task, one holder of each part hash (found: if another in the block has it), and for other holders how many parts they share with that one (met; part null)."""
+    """(part, probe, need, found, met): per block of a task, one holder of each part hash (found: if another in the block has it; met null), and for other holders how many parts they share with that one (met; they go anywhere, so part is a hash of the probe)."""
     names = ["part", "probe", "need", "found", "met"]
 
     def rows(part, probe, need, found, met) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(probe), 100_000):
             c = slice(i, i + 100_000)
-            some = lambda x: pa.nulls(len(probe[c]), pa.int64()) if x is None else pa.array(x[c])
-            yield pa.record_batch([some(part), pa.array(probe[c]), pa.array(need[c].astype(np.int32)), pa.array(found[c].astype(np.int32)), some(met)], names)
+            other = pa.nulls(len(probe[c]), pa.int64()) if met is None else pa.array(met[c])
+            yield pa.record_batch([pa.array(part[c].view(np.int64)), pa.array(probe[c]), pa.array(need[c].astype(np.int32)), pa.array(found[c].astype(np.int32)), other], names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges = SizeRanges(num, den)
@@ -214,9 +214,10 @@ def _signatures(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
             part, of, alone = part[order], of[order], alone[order]
             new = np.concatenate([[True], part[1:] != part[:-1]])
             lead = of[np.maximum.accumulate(np.where(new, np.arange(len(part)), 0))]
-            yield from rows(part[new].view(np.int64), probe[of[new]], need[of[new]], ~alone[new], None)
+            yield from rows(part[new], probe[of[new]], need[of[new]], ~alone[new], None)
             tie, found = np.unique(of[~new] * len(probe) + lead[~new], return_counts=True)
-            yield from rows(None, probe[tie // len(probe)], need[tie // len(probe)], found, probe[tie % len(probe)])
+            mine = tie // len(probe)
+            yield from rows(_mix(probe[mine].astype(np.uint64)), probe[mine], need[mine], found, probe[tie % len(probe)])
 
     return _source(docs).mapInArrow(run, "part long, probe long, need int, found int, met long")
 
@@ -224,16 +225,15 @@ def _signatures(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 def _ties(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """(a, b): ties between the keys of nodes that share enough parts with others to have a partner."""
     rows = _signatures(docs, words, num, den)
-    rows = rows.withColumn("at", F.coalesce("part", F.xxhash64("probe")))  # rows without a part go anywhere
-    where = Window.partitionBy("at")
-    holder = F.when(F.col("part").isNotNull(), F.col("probe"))
-    shared = rows.withColumn("one", F.min(holder).over(where)).withColumn("other", F.max(holder).over(where)).where("part is null or found > 0 or one < other")
+    where = Window.partitionBy("part")
+    bounds = rows.select("*", F.min("probe").over(where).alias("one"), F.max("probe").over(where).alias("other"))
+    shared = bounds.where("met is not null or found > 0 or one < other")
     shared = cut(shared.select("part", "probe", "need", F.greatest("found", F.lit(1)).alias("found"), "met"))
     able = cut(shared.groupBy("probe").agg(F.sum("found").alias("have"), F.max("need").alias("need")).where("have >= need").select("probe"))
-    near = cut(shared.where("part is null").join(able, "probe").select("probe", "met"))
+    near = cut(shared.where("met is not null").join(able, "probe").select("probe", "met"))
     # those that stand for others are kept too: ties go through them
     kept = able.unionByName(near.select(F.col("met").alias("probe"))).distinct()
-    held = cut(shared.where("part is not null").join(kept, "probe").select("part", "probe"))
+    held = cut(shared.where("met is null").join(kept, "probe").select("part", "probe"))
     least = cut(held.groupBy("part").agg(F.min("probe").alias("met")))
     far = held.join(least, "part").where("probe <> met").select("probe", "met")
     ties = cut(near.unionByName(far).select(F.shiftright("probe", 2).alias("a"), F.shiftright("met", 2).alias("b")).where("a <> b").distinct())
@@ -342,7 +342,8 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
 
     def read(some: DataFrame) -> DataFrame:
         some = some.select("node", "digest", F.col("lead.doc_id").alias("doc_id"), F.col("lead.h").alias("h"))
-        return _source(docs).join(some, ["doc_id", "h"]).select("node", "digest", "text").mapInArrow(run, "node long, shingles binary")
+        # both sides grow with the documents: never a broadcast
+        return _source(docs).join(some.hint("merge"), ["doc_id", "h"]).select("node", "digest", "text").mapInArrow(run, "node long, shingles binary")
 
     once = read(nodes.where("lead.copies = 1"))
     repeated = nodes.where("lead.copies > 1")
