@@ -22,7 +22,7 @@ def test_pipeline(spark):
 
     from chronolake.llm import mixing, quality_classifier
 
-    from .test_dedup import LOWER, brute_components
+    from .test_dedup import LOWER, brute_texts
 
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
@@ -41,8 +41,8 @@ def test_pipeline(spark):
         key = r["text"].translate(LOWER)
         last[key] = max(last.get(key, r["doc_id"]), r["doc_id"])
     assert {r["doc_id"] for r in unique.collect()} == set(last.values())
-    found = brute_components([(r["doc_id"], r["text"]) for r in unique.collect()], p.WORDS, p.NUM, p.DEN)
-    assert {r["doc_id"] for r in apart.collect()} == {i for i, _, c in found if i == c}
+    found = brute_texts([(r["doc_id"], r["text"]) for r in unique.collect()], p.WORDS, p.NUM, p.DEN)
+    assert {r["doc_id"] for r in apart.collect()} == {i for i, _, c, _ in found if i == c}
     counts = Counter(r["doc_id"] for r in mixing.mix(apart, mixing.PRODUCTION).collect())
     assert Counter(r["doc_id"] for r in mixed.collect()) == counts == Counter(r["doc_id"] for r in coded.collect())
     assert all(re.fullmatch("[0-9]+", str(r["n_tokens"])) and len(r["ids"]) == r["n_tokens"] for r in coded.collect())
