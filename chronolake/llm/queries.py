@@ -55,9 +55,13 @@ def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url_key", "time")
 
 
-OP4_SQL = """
-with p as (select page_id, encode(coalesce(html, '')) b from pages),
-h as (select page_id, octet_length(b) n, sha1(b) h from p),
+OP4_SQL = r"""
+with u as (select page_id, encode(coalesce(html, '')) b, coalesce(url, '') url, substr(url, case when contains(url, '://') then instr(url, '://') + 3 else 1 end) rest from pages),
+t as (select *, split_part(rest, '/', 1) host from u),
+n as (select *, regexp_replace(split_part(regexp_replace(lower(host), '^.*@', ''), ':', 1), '^www\.', '') name from t),
+k as (select page_id, b, case when url = '' then '' else array_to_string(list_reverse(string_split(name, '.')), ',') || ')' || split_part(substr(rest, length(host) + 1), '#', 1) end url_key from n),
+p as (select page_id, b, row_number() over (order by url_key, page_id) - 1 position from k),
+h as (select page_id, position, octet_length(b) n, sha1(b) h from p),
 m as (select *, min(page_id) over (partition by h) first_id from h),
 g as (select distinct h from h),
 bits as (select h, array_to_string(list_transform(range(40), lambda i: lpad(bin(instr('0123456789abcdef', substr(h, i::int + 1, 1)) - 1), 4, '0')), '') b from g),
@@ -65,7 +69,7 @@ b32 as (select h, array_to_string(list_transform(range(32), lambda i: substr('AB
             1 + 16 * substr(b, i::int * 5 + 1, 1)::int + 8 * substr(b, i::int * 5 + 2, 1)::int + 4 * substr(b, i::int * 5 + 3, 1)::int
               + 2 * substr(b, i::int * 5 + 4, 1)::int + substr(b, i::int * 5 + 5, 1)::int, 1)), '') d from bits)
 select page_id, n::bigint payload_bytes, d payload_digest, case when page_id = first_id then 'response' else 'revisit' end record_type,
-       case when page_id <> first_id then first_id end refers_to
+       case when page_id <> first_id then first_id end refers_to, position
 from m join b32 using (h)
 """
 

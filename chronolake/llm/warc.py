@@ -4,12 +4,14 @@ Writing: pages meet the smallest page_id of their payload digest (the minimum is
 map-side; AQE may split a hot payload), then each task streams its rows into gzipped WARC
 files in the shared folder. A file appears under its final name only when it is whole, and each
 attempt of a task has names of its own: of a rerun or speculative task, only the files of the attempt
-whose captures were committed are ever read, and no file is replaced. Each task hands on one run: its captures, sorted by URL key, time
-and page.
+whose captures were committed are ever read, and no file is replaced. Each task hands on runs: RUN_ROWS
+captures at a time, sorted by URL key, time and page.
 
-Index merge: runs are dealt out by ranges of (URL key, time, page), so one URL with very many
-captures spreads over ranges too; in each range the parts of the k runs are merged by a loser
-tree. Ranges follow each other, so the result is ordered as a whole.
+Index merge: runs are dealt out by ranges of (URL key, time, page, archive, offset), so one URL
+with very many captures spreads over ranges too, and there are as many ranges as hold RANGE_ROWS
+captures each: a task's memory does not grow with the corpus. In each range the parts of the k runs
+are merged by a loser tree. Ranges follow each other; their counts, a row per range, turn a capture's
+place in its range into its position in the index as a whole.
 
 Reading streams each archive member by member and recomputes the digests of payloads.
 
@@ -28,9 +30,10 @@ import zlib
 from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime, timedelta, timezone
 from hashlib import sha1
+from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, scratch, utf8
@@ -38,11 +41,15 @@ from .common import cut, scratch, utf8
 EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
 #: Compressed bytes after which a task opens its next file.
 ROLL_BYTES = 256 << 20
+#: Captures that a task sorts at a time; captures in a range of the index.
+RUN_ROWS, RANGE_ROWS = 100_000, 500_000
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 _CAPTURE = pa.schema([("url_key", pa.string()), ("time", pa.string()), ("page_id", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("run", pa.string())])
 _CAPTURE_DDL = "url_key string, time string, page_id long, archive string, offset long, length long, run string"
+_PLACED = pa.schema([*_CAPTURE, ("range", pa.int32()), ("place", pa.int64())])
+_PLACED_DDL = _CAPTURE_DDL + ", range int, place long"
 _RECORD = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 _RECORD_DDL = "archive string, offset long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -95,6 +102,12 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, block.partition(b"\r\n\r\n")[2]
 
 
+def _batches(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    rows = iter(rows)
+    while block := list(islice(rows, 10_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*block), schema)], schema=schema)
+
+
 def _writer(folder: str) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -102,9 +115,15 @@ def _writer(folder: str) -> Callable:
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
         store, root = opened(folder)
-        captures, files, out, at = [], 0, None, 0
+        captures, files, out, at, sorted_ = [], 0, None, 0, 0
         name = ""
 
+        def hand_on() -> Iterator[pa.RecordBatch]:
+            nonlocal captures, sorted_
+            run, captures = sorted(captures, key=_order), []
+            yield from _batches((x + (f"{part:06d}-{sorted_:06d}",) for x in run), _CAPTURE)
+            sorted_ += 1
+
         def close() -> None:
             out.close()
             store.move(f"{root}/.{attempt}-{name}", f"{root}/{name}")
@@ -119,22 +138,22 @@ def _writer(folder: str) -> Callable:
                 packer = zlib.compressobj(4, zlib.DEFLATED, 31)
                 member = packer.compress(record(page_id, url, payload, response, first)) + packer.flush()
                 out.write(member)
-                captures.append((url_key(url), f"{_time(page_id):%Y%m%d%H%M%S}", page_id, f"{folder}/{name}", at, len(member), f"{part:06d}"))
+                captures.append((url_key(url), f"{_time(page_id):%Y%m%d%H%M%S}", page_id, f"{folder}/{name}", at, len(member)))
                 at += len(member)
                 if at >= ROLL_BYTES:
                     close()
                     out = None
+                if len(captures) >= RUN_ROWS:
+                    yield from hand_on()
         if out is not None:
             close()
-        captures.sort(key=_order)
-        for i in range(0, len(captures), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*captures[i : i + 10_000]), _CAPTURE)], schema=_CAPTURE)
+        yield from hand_on()
 
     return run
 
 
 def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) -> DataFrame:
-    """Writes a record per page below folder; returns the captures, a sorted run per task (url_key, time, page_id, archive, offset, length, run).
+    """Writes a record per page below folder; returns the captures in sorted runs (url_key, time, page_id, archive, offset, length, run).
 
     Payloads under least_bytes are never revisits.
     """
@@ -150,7 +169,7 @@ def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) ->
 
 
 def _order(x: tuple) -> tuple:
-    return x[0], x[1], x[2] is not None, x[2] or 0
+    return x[0], x[1], x[2] is not None, x[2] or 0, x[3], x[4]
 
 
 class LoserTree:
@@ -209,20 +228,22 @@ def merge_runs(rows: Iterable[tuple]) -> Iterator[tuple]:
 
 
 def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    at = TaskContext.get().partitionId()
     rows = (x for b in batches for x in zip(*(c.to_pylist() for c in b.columns)))
-    block: list = []
-    for row in merge_runs(rows):
-        block.append(row)
-        if len(block) == 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*block), _CAPTURE)], schema=_CAPTURE)
-            block = []
-    if block:
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*block), _CAPTURE)], schema=_CAPTURE)
+    yield from _batches((row + (at, i) for i, row in enumerate(merge_runs(rows))), _PLACED)
 
 
 def histories(captures: DataFrame) -> DataFrame:
-    """All captures in the order of (url_key, time, page_id) over the partitions of the result."""
-    return captures.repartitionByRange("url_key", "time", "page_id").mapInArrow(_merge, _CAPTURE_DDL)
+    """All captures with their position (0 and up) in the order of (url_key, time, page_id, archive, offset)."""
+    ranges = max(1, -(-captures.count() // RANGE_ROWS), int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    by_range = captures.repartitionByRange(ranges, "url_key", "time", "page_id", "archive", "offset")
+    placed = cut(by_range.mapInArrow(_merge, _PLACED_DDL))
+    counts = placed.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    # a row per range: RANGE_ROWS times fewer than captures, and AQE checks its size before it is broadcast
+    return placed.join(before, "range").withColumn("position", F.col("before") + F.col("place")).drop("range", "place", "before")
 
 
 def members(stream, size: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
@@ -272,9 +293,9 @@ def read(captures: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Writes pages, merges the index, and reads back the record of each indexed capture."""
     captures = write(pages, least_bytes=least_bytes)
-    index = histories(captures).select("url_key", "time", "archive", "offset")
+    index = histories(captures).select("url_key", "time", "archive", "offset", "position")
     # both sides grow with the pages: never a broadcast
     met = index.hint("merge").join(read(captures), ["archive", "offset"], "left")
     missed = F.raise_error(F.concat(F.lit("no record at "), "archive", F.lit(" "), F.col("offset").cast("string"))).cast("string")
     digest = F.coalesce("payload_digest", missed).alias("payload_digest")
-    return met.select("page_id", "payload_bytes", digest, "record_type", "refers_to", "url_key", "time")
+    return met.select("page_id", "payload_bytes", digest, "record_type", "refers_to", "url_key", "time", "position")

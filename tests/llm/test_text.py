@@ -126,6 +126,21 @@ def test_compiled_rules_score_as_the_model_does(spark):
     assert np.allclose(model.score(rows[list(quality_classifier.STATS)].to_numpy()), rows["score"])
 
 
+def test_classifier_is_fitted_on_the_lowest_hashes(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    given = []
+    monkeypatch.setattr(quality_classifier, "SAMPLE", 40)
+    monkeypatch.setattr(quality_classifier, "fit", lambda x, y: given.append((x, y)))
+    known = labels.where(~quality_classifier.held_out())
+    strangers = known.select((F.col("doc_id") + 10**6).alias("doc_id"), "quality", "toxic")
+    want = docs.join(known, "doc_id").orderBy(F.xxhash64("doc_id")).limit(40).select("doc_id", "text", "quality").collect()
+    for given_labels in (labels, labels.unionByName(strangers).unionByName(strangers).unionByName(strangers)):
+        quality_classifier.train(docs.select("doc_id", "text"), given_labels)
+        x, y = given.pop()
+        assert y.tolist() == [r["quality"] for r in want]
+        assert np.allclose(x, [quality_classifier.statistics(r["text"]) for r in want])
+
+
 def test_classifier_on_odd_tables(spark):
     df = cases.frame(spark)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -416,13 +431,26 @@ def test_archives(spark, tmp_path):
     digest = lambda h: base64.b32encode(hashlib.sha1(payload(h)).digest()).decode()
     want = Counter((i, len(payload(h)), digest(h), "response" if first[payload(h)] == i else "revisit", None if first[payload(h)] == i else first[payload(h)]) for i, _, h in rows)
     assert Counter((x["page_id"], x["payload_bytes"], x["payload_digest"], x["record_type"], x["refers_to"]) for x in back) == want
-    index = warc.histories(captures).collect()
+    index = sorted(warc.histories(captures).collect(), key=lambda x: x["position"])
+    assert [x["position"] for x in index] == list(range(len(rows)))
     keys = [(x["url_key"], x["time"], x["page_id"] is not None, x["page_id"] or 0) for x in index]
     assert len(keys) == len(rows) and keys == sorted(keys)
     assert all(b"Injected" not in line for p in (tmp_path / "w").iterdir() for _, raw in warc.members(p.open("rb")) for line in raw.split(b"\r\n") if line.startswith(b"Injected"))
     assert Counter(x["page_id"] for x in warc.round_trip(df).collect()) == Counter(i for i, _, _ in rows)
 
 
+def test_index_of_many_runs_and_ranges(spark, monkeypatch, tmp_path):
+    r = random.Random(3)
+    monkeypatch.setattr(warc, "RUN_ROWS", 7)
+    monkeypatch.setattr(warc, "RANGE_ROWS", 10)
+    rows = [(r.randrange(200), r.choice(["http://hot/", f"http://h{r.randrange(9)}/{r.randrange(5)}", None]), "p", "", "", "") for _ in range(300)]
+    captures = warc.write(spark.createDataFrame(rows, PAGES).repartition(3), str(tmp_path / "w"))
+    assert captures.select("run").distinct().count() >= 300 // 7
+    index = sorted(warc.histories(captures).collect(), key=lambda x: x["position"])
+    assert [x["position"] for x in index] == list(range(300))
+    assert [(x["url_key"], x["time"], x["page_id"]) for x in index] == sorted((warc.url_key(u), f"{warc._time(i):%Y%m%d%H%M%S}", i) for i, u, *_ in rows)
+
+
 def test_small_payloads_can_be_kept(spark):
     df = spark.createDataFrame([(1, "a", "x", "", "", ""), (2, "b", "x", "", "", ""), (3, "a", "long one", "", "", ""), (4, "a", "long one", "", "", "")], PAGES)
     assert {r["page_id"]: r["record_type"] for r in warc.round_trip(df, least_bytes=2).collect()} == {1: "response", 2: "response", 3: "response", 4: "revisit"}
