@@ -218,6 +218,14 @@ def _texts(batch: pa.RecordBatch) -> Iterator[str]:
     return (t.decode("utf-8", "replace") for t in batch.column("text").to_pylist())
 
 
+def _listed(ids: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    """Lists of ids, and their lengths."""
+    n = np.array([len(x) for x in ids], np.int64)
+    offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+    flat = np.concatenate([*ids, np.zeros(0, np.int64)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(n)
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids array<int>, n_tokens) of each row."""
     vocab = Vocabulary(path)
@@ -226,10 +234,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         encoder = Encoder(vocab)
         for b in batches:
             ids = list(encoder.encode(_texts(b)))
-            n = pa.array([len(x) for x in ids], pa.int64())
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            flat = np.concatenate([*ids, np.zeros(0, np.int64)]).astype(np.int32)
-            yield pa.record_batch([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), n], ["doc_id", "ids", "n_tokens"])
+            yield pa.record_batch([b.column("doc_id"), *_listed(ids)], ["doc_id", "ids", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long")
 
@@ -246,6 +251,20 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
+def encode_decode(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids array<int>, n_tokens, text) of each row, in one pass; text is what the ids decode to."""
+    vocab = Vocabulary(path)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(vocab)
+        for b in batches:
+            ids = list(encoder.encode(_texts(b)))
+            back = pa.array([decode_ids(vocab, x) for x in ids], pa.string())
+            yield pa.record_batch([b.column("doc_id"), *_listed(ids), back], ["doc_id", "ids", "n_tokens", "text"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, text string")
+
+
 def digest(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): what encoding, then decoding, gives."""
     vocab = Vocabulary(path)

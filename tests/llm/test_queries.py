@@ -45,4 +45,5 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in apart.collect()} == {i for i, _, c, _ in found if i == c}
     counts = Counter(r["doc_id"] for r in mixing.mix(apart, mixing.PRODUCTION).collect())
     assert Counter(r["doc_id"] for r in mixed.collect()) == counts == Counter(r["doc_id"] for r in coded.collect())
+    assert sorted((r["doc_id"], r["text"]) for r in coded.collect()) == sorted((r["doc_id"], r["text"] or "") for r in mixed.collect())
     assert all(re.fullmatch("[0-9]+", str(r["n_tokens"])) and len(r["ids"]) == r["n_tokens"] for r in coded.collect())
