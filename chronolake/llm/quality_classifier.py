@@ -233,14 +233,25 @@ def held_out() -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def train(stats: DataFrame, labels: DataFrame) -> Model:
-    """A model of stats (doc_id, __stats) and labels (doc_id, quality); held-out rows are not used.
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model of docs (doc_id, and __stats or text) and labels (doc_id, quality); held-out rows are not used.
 
-    The sample is the SAMPLE rows whose doc_id hashes lowest.
+    The sample is the SAMPLE labelled rows whose doc_id hashes lowest. Labels leave by a threshold
+    on the hash before they meet their documents, so few more than SAMPLE rows are ever sorted;
+    where too many of them have no document, the threshold rises.
     """
+    at = F.xxhash64("doc_id")
     known = labels.where(~held_out() & F.col("quality").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality"))
-    rows = stats.join(known, "doc_id").select("quality", "__stats.*", F.xxhash64("doc_id").alias("at"), "doc_id").orderBy("at", "doc_id", "quality").limit(SAMPLE).toPandas()
-    return fit(rows[list(STATS)].to_numpy(float), rows["quality"].to_numpy(float))
+    share = min(1.0, 1.1 * SAMPLE / max(1, known.count()))
+    while True:
+        low = known if share >= 1 else known.where(at < F.lit(min(int((share - 0.5) * 2.0**64), 2**63 - 1)))
+        met = docs.join(low, "doc_id")
+        if "__stats" not in docs.columns:
+            met = with_statistics(met, ["doc_id", "quality"])
+        rows = met.select("quality", "__stats.*", at.alias("at"), "doc_id").orderBy("at", "doc_id", "quality").limit(SAMPLE).toPandas()
+        if len(rows) >= SAMPLE or share >= 1:
+            return fit(rows[list(STATS)].to_numpy(float), rows["quality"].to_numpy(float))
+        share = min(1.0, 4 * share)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -253,7 +264,6 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that score THRESHOLD or more, with all their columns; texts are read twice and not shuffled."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    model = train(with_statistics(own, ["doc_id"]), labels)
+    """The rows of docs that score THRESHOLD or more, with all their columns."""
+    model = train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels)
     return with_statistics(docs, docs.columns).where(model.column() >= THRESHOLD).drop("__stats")
