@@ -1,7 +1,7 @@
 """A corpus pipeline out of five operators: each stage's result is written as Parquet and read again as the next one's documents.
 
 Quality classifier, exact dedup, n-gram Jaccard join (five words, similarity 0.8 and more),
-mixing sources to target weights, byte-level BPE. All stages but the last return the columns
+mixing sources to target weights, byte-level BPE encoding and decoding. All stages but the last return the columns
 of documents.
 
 Cases: the operators' docstrings say what becomes of nulls, ties, repeated rows and very long
@@ -42,7 +42,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs, tokenizer_path())
+    return bpe.encode_decode(docs, tokenizer_path())
 
 
 STAGES = [
@@ -50,7 +50,7 @@ STAGES = [
     ("exact dedup", exact),
     ("n-gram Jaccard join", near),
     ("mixing sources to target weights", mix),
-    ("BPE encoding", tokens),
+    ("BPE encoding and decoding", tokens),
 ]
 
 #: The trained classifier and the tokenizer cannot be stated in SQL; the stages are tested one by one.
