@@ -772,15 +772,21 @@ def loose_roundtrip(spark, d):
     return stores.read_loose(spark, f"{path}/loose").select("sha", "type", "size")
 
 
-@query("S11_worktree", f"with {FILES} select count(*)::bigint as files, sum(strlen(c))::bigint as bytes from f where not kept")
+def _files_below(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, size, sha256) of all files below folder, read back."""
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    path = F.substring_index("path", "/" + folder.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
+    return there.select(path.alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+@query("S11_worktree", f"with {FILES} select path, strlen(c)::bigint as size, sha256(encode(c)) as sha256 from f where not kept")
 def worktree(spark, d):
     """Only what a second snapshot changes is written (incremental checkout)."""
     path = scratch(spark, "worktree")
     f = M.customer_files(spark, d).where("not kept")
     w = f.select("path", F.lit("blob").alias("type"), F.element_at(F.split("path", "/"), 3).cast("binary").alias("content"))
     stores.write_worktree(w, path).agg(F.sum("written")).first()
-    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return there.agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+    return _files_below(spark, path)
 
 
 # --- messages, refs and compositions -----------------------------------------------------------
@@ -889,15 +895,14 @@ def diff_refs(spark, d):
     return trees.diff(f.select("path", "sha"), new.select("path", "sha"), blobs)
 
 
-@query("S12_checkout", f"with {FILES} select count(*)::bigint as files, sum(strlen(c))::bigint as bytes from f where r = 'ASIA'")
+@query("S12_checkout", f"with {FILES} select path, strlen(c)::bigint as size, sha256(encode(c)) as sha256 from f")
 def checkout(spark, d):
     path = scratch(spark, "checkout")
     f = M.customer_files(spark, d)
     blobs = f.select("sha", F.element_at(F.split("path", "/"), 3).cast("binary").alias("content")).dropDuplicates(["sha"])
-    roots = spark.range(1).select(F.lit("asia").alias("root"), F.lit("r:ASIA").alias("tree_sha"))
+    roots = spark.range(1).select(F.lit("all").alias("root"), F.lit("root").alias("tree_sha"))
     stores.write_worktree(trees.checkout(M.tree_entries(spark, d), roots, blobs), path).agg(F.sum("written")).first()
-    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return there.agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+    return _files_below(spark, path)
 
 
 @query("L5_revwalk", LOG + " select repo, n::varchar sha, row_number() over (partition by repo order by n desc) - 1 as pos from w")
