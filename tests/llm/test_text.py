@@ -351,6 +351,10 @@ def test_bpe_of_a_table(spark, tokenizer):
         want[i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += 1
     assert Counter(tuple(r) for r in bpe.digest(df, path).collect()) == want
     back = bpe.decode(bpe.encode(df, path), path)
+    both = bpe.encode_decode(df, path)
+    by_id = lambda rows: sorted(rows, key=repr)
+    assert by_id((r["doc_id"], r["ids"], r["n_tokens"]) for r in both.collect()) == by_id((r["doc_id"], r["ids"], r["n_tokens"]) for r in bpe.encode(df, path).collect())
+    assert by_id((r["doc_id"], r["text"]) for r in both.collect()) == by_id((r["doc_id"], r["text"]) for r in back.collect())
     assert Counter(map(tuple, back.collect())) == Counter((i, t or "") for i, t, _, _ in cases.rows())
     assert bpe.digest(cases.empty(spark), path).count() == 0
 
