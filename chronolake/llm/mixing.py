@@ -13,7 +13,8 @@ bounded by the parameter, whatever the corpus holds. They are summed map-side fi
 Cases: null source belongs to the rest; null or empty text has no characters but is repeated
 at its source's rate; repeated rows (same doc_id) are repeated alike, each on its own; a null
 doc_id is hashed as the word "null"; a source without any character has rate 0; an empty
-table gives an empty result; other columns are carried along.
+table gives an empty result; other columns are carried along, but mix puts its own copy, rate
+and shuffle_key in the place of columns of these names.
 """
 
 from __future__ import annotations
@@ -84,8 +85,8 @@ def poisson(cdf: Column, u: Column, terms: int) -> Column:
     return F.when(below < F.size(cdf), below).otherwise(F.lit(terms))
 
 
-def mix(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
-    """docs with each row repeated, plus copy (from 0), rate and shuffle_key; dealt out by shuffle_key, and in its order within each partition."""
+def _dealt(docs: DataFrame, mix: Mix) -> DataFrame:
+    """docs with each row repeated, and __copy, __rate and __key; dealt out by __key, and in its order within each partition."""
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     # the probabilities no longer grow after some terms; a row need not look at these
     cdf = F.array_distinct(cumulative(F.col("rate"), mix.terms()))
@@ -94,9 +95,18 @@ def mix(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
     drawn = rated.withColumn("__count", poisson(F.col("__cdf"), uniform(F.lit(mix.seed), ident), mix.terms())).drop("__cdf").where("__count > 0")
     copies = drawn.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__count") - 1)))
     keyed = copies.withColumn("__key", F.md5(F.concat_ws("|", F.lit(mix.seed), F.lit("order"), ident, F.col("__copy"))))
-    dealt = keyed.repartition("__key").sortWithinPartitions("__key")
-    own = [c for c in docs.columns if c not in ("copy", "rate", "shuffle_key")]
-    return dealt.select(*own, F.col("__copy").cast("long").alias("copy"), F.col("__rate").alias("rate"), F.col("__key").alias("shuffle_key"))
+    return keyed.repartition("__key").sortWithinPartitions("__key")
+
+
+def mix(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
+    """docs with each row repeated, plus copy (from 0), rate and shuffle_key; dealt out by shuffle_key, and in its order within each partition."""
+    own = [f"`{c}`" for c in docs.columns if c not in ("copy", "rate", "shuffle_key")]
+    return _dealt(docs, mix).select(*own, F.col("__copy").cast("long").alias("copy"), F.col("__rate").alias("rate"), F.col("__key").alias("shuffle_key"))
+
+
+def repeated(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
+    """The rows of mix, in its order, with the columns of docs alone, whatever their names are."""
+    return _dealt(docs, mix).select(*[f"`{c}`" for c in docs.columns])
 
 
 def sql(mix: Mix, documents: str = "documents", columns: str = "doc_id, text, lang, source, n_chars") -> str:

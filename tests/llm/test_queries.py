@@ -4,6 +4,8 @@ import pytest
 
 from chronolake.llm import queries
 
+from . import cases
+
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_same_as_sql(name, same_as_sql):
@@ -47,3 +49,45 @@ def test_pipeline(spark):
     assert Counter(r["doc_id"] for r in mixed.collect()) == counts == Counter(r["doc_id"] for r in coded.collect())
     assert sorted((r["doc_id"], r["text"]) for r in coded.collect()) == sorted((r["doc_id"], r["text"] or "") for r in mixed.collect())
     assert all(re.fullmatch("[0-9]+", str(r["n_tokens"])) and len(r["ids"]) == r["n_tokens"] for r in coded.collect())
+
+
+def labelled(spark, docs, good):
+    return docs.selectExpr("doc_id", f"cast({good} as int) as quality").distinct()
+
+
+@pytest.mark.parametrize("made", [cases.frame, cases.empty])
+def test_pipeline_on_odd_tables(spark, made, tmp_path, monkeypatch):
+    """Nulls, repeated rows, ties, clashing columns and no rows at all, through every stage in turn."""
+    from collections import Counter
+
+    import corpus_pipeline as p
+
+    from .test_dedup import LOWER, components, shingles
+
+    docs = made(spark)
+    # a classifier that keeps everything but texts of symbols, so that odd rows reach the later stages
+    labelled(spark, docs, "coalesce(text, '') not like '# $%'").where("doc_id is not null").write.parquet(str(tmp_path / "labels.parquet"))
+    now, before = docs, {}
+    for name, stage in p.STAGES:
+        before[name] = [tuple(r) for r in now.collect()]
+        now = stage(spark, now, str(tmp_path))
+        if name != p.STAGES[-1][0]:
+            assert now.dtypes == docs.dtypes, name
+            path = str(tmp_path / name.replace(" ", "-"))
+            now.write.parquet(path)
+            now = spark.read.parquet(path)
+    raw, good, unique, apart, mixed = before.values()
+    assert not Counter(good) - Counter(raw)
+    key = lambda r: (r[1] or "").translate(LOWER)
+    last = {}
+    for r in good:
+        last[key(r)] = max(last.get(key(r), r[0]), r[0], key=lambda i: (i is not None, i or 0))
+    assert Counter((key(r), r[0]) for r in unique) == Counter(last.items())
+    sets = [(r[0], shingles(r[1], p.WORDS)) for r in unique]
+    live = [s for i, s in sets if i is not None and s]
+    tied = [(a, b) for a, s in enumerate(live) for b, t in enumerate(live[:a]) if len(s & t) * p.DEN >= p.NUM * len(s | t)]
+    of_component = components([*tied, *((a, a) for a in range(len(live)))])
+    assert len(apart) == len(unique) - len(live) + len(set(of_component.values())) < len(unique) or not raw
+    assert not Counter(apart) - Counter(unique)
+    assert set(mixed) <= set(apart)
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in now.collect()) == sorted((r[0] is None, r[0] or 0, r[1] or "") for r in mixed)
