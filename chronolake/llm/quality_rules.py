@@ -4,7 +4,7 @@ Statistics of every whole text feed two base rules (too few words, too much repe
 The rest is judged by a minimum covariance determinant (MCD) estimate for each language and
 source. From each of several starts (medians and MADs, all rows, two hashed quarters of the rows),
 concentration steps re-estimate mean and covariance from the share COVER of rows nearest by
-Mahalanobis distance, until the determinant falls for none; the estimate of the lowest determinant
+Mahalanobis distance, until its determinant no longer falls; the estimate of the lowest determinant
 is a group's. Rows beyond CUTOFF are rejected.
 
 A step is two aggregates that combine map-side: a histogram of distances per group gives the
@@ -168,9 +168,9 @@ def _factor(moments: DataFrame) -> DataFrame:
     return out.select("grp", *(f"m{i}" for i in range(len(X))), *(f"l{i}{j}" for i, j in PAIRS), logdet.alias("logdet"))
 
 
-def _distance(rows: DataFrame, factor: DataFrame) -> DataFrame:
-    """rows with d2, the squared Mahalanobis distance; null where the group has no estimate."""
-    out = _meet(rows, factor, ["grp"], "left")
+def _distance(rows: DataFrame, factor: DataFrame, how: str = "left") -> DataFrame:
+    """rows with d2, the squared Mahalanobis distance; null (or, by an inner join, no row) where the group has no estimate."""
+    out = _meet(rows, factor, ["grp"], how)
     for i in range(len(X)):
         rest = F.col(X[i]) - F.col(f"m{i}")
         for k in range(i):
@@ -205,13 +205,14 @@ def estimates(fit: DataFrame) -> DataFrame:
     for k in range(1, len(starts)):
         begin = begin.unionByName(named(starts[k], k).select(*begin.columns))
     runs = fit.withColumn("start", F.explode(F.array(*map(F.lit, range(len(starts)))))).withColumn("grp", F.concat_ws("|", "start", "grp")).drop("start")
-    now = best = cut(_factor(_moments(begin)))
-    while True:
-        now = cut(_factor(_moments(_nearest(_distance(runs, now)))))
-        gain = now.join(best.select("grp", F.col("logdet").alias("was")), "grp").agg(F.max(F.col("was") - F.col("logdet"))).first()[0]
-        best = cut(_least(best.unionByName(now)))
-        if gain is None or gain <= GAIN:
-            return _least(best.withColumn("grp", F.expr("substring(grp, 3)")))
+    now = found = cut(_factor(_moments(begin)))
+    while not now.isEmpty():
+        was = now.select("grp", F.col("logdet").alias("was"))
+        after = cut(_factor(_moments(_nearest(_distance(runs, now, "inner")))).join(was, "grp"))
+        found = found.unionByName(after.drop("was"))
+        # a start whose determinant no longer falls is done
+        now = after.where(F.col("was") - F.col("logdet") > GAIN).drop("was")
+    return _least(found.withColumn("grp", F.expr("substring(grp, 3)")))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
